@@ -7,7 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadloom.llm import line_dedup, quality
+from quadloom.llm import licenses, line_dedup, pieces, quality, token_counts
+from quadloom.llm.workspace import new_path
+
+#: Names of vocabulary files; each executor looks up where its own copy lies.
+PIECE_MODEL, RANKS = "piece_bpe_32k.model", "byte_bpe_50k.tiktoken"
+
+
+def tokenizer_file(name: str) -> Callable[[], str]:
+    def where() -> str:
+        import public_tokenizers
+
+        return public_tokenizers.path(name)
+
+    return where
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,9 +38,36 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.drop("text")
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return piece_digests(pieces.encode(docs, tokenizer_file(PIECE_MODEL), end=True, decoded=True))
+
+
+def piece_digests(encoded: DataFrame) -> DataFrame:
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    import public_tokenizers
+
+    counters = {"piece_bpe_32k": token_counts.piece_counter(tokenizer_file(PIECE_MODEL)), "byte_bpe_50k": token_counts.rank_counter(tokenizer_file(RANKS), public_tokenizers.PATTERN)}
+    ledger = token_counts.TokenLedger(spark, new_path(spark, "ledger"), counters)
+    ledger.commit("documents", docs)
+    return ledger.totals()
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op4_quality_rules": op4_quality_rules,
+    "op6_sentencepiece": op6_sentencepiece,
+    "op7_license_scan": op7_license_scan,
+    "op9_token_counts": op9_token_counts,
 }
 
 _SPACE = r"[\x20\x09-\x0D]"
