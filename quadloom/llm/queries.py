@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadloom.llm import licenses, line_dedup, pieces, quality, token_counts
+from quadloom.llm import licenses, line_dedup, mixing, pieces, quality, token_counts
 from quadloom.llm.workspace import new_path
 
 #: Names of vocabulary files; each executor looks up where its own copy lies.
@@ -62,12 +62,18 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.totals()
 
 
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return mixed.select("doc_id", "source", "n_tokens", "copies")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_license_scan": op7_license_scan,
     "op9_token_counts": op9_token_counts,
+    "op10_source_mixing": op10_source_mixing,
 }
 
 _SPACE = r"[\x20\x09-\x0D]"
@@ -87,4 +93,31 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, count(*) AS n_lines, CAST(sum(dropped::INT) AS BIGINT) AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), '')) AS kept_sha256
         FROM judged GROUP BY doc_id""",
+    "op10_source_mixing": rf"""
+        WITH RECURSIVE rows AS (
+          SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n_tokens,
+                 CAST('0x' || substr(md5('{mixing.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 15) AS BIGINT) AS h
+          FROM documents),
+        sources AS (SELECT source, sum(n_tokens) AS total FROM rows GROUP BY source),
+        held AS (SELECT total, total / (SELECT sum(total) FROM sources)::DOUBLE AS p FROM sources WHERE total > 0),
+        target AS (SELECT {mixing.ENTROPY_SHARE} * ln(count(*)) AS h FROM held),
+        steps AS (
+          SELECT 0 AS i, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi
+          UNION ALL
+          SELECT i + 1, CASE WHEN e >= t THEN mid ELSE lo END, CASE WHEN e >= t THEN hi ELSE mid END
+          FROM (SELECT i, lo, hi, (lo + hi) / 2 AS mid, ln(sum(p ** ((lo + hi) / 2))) - (lo + hi) / 2 * sum(p ** ((lo + hi) / 2) * ln(p)) / sum(p ** ((lo + hi) / 2)) AS e, any_value(h) AS t
+                FROM steps, held, target WHERE i < {mixing.STEPS} GROUP BY i, lo, hi)),
+        chosen AS (
+          SELECT round(CASE WHEN (SELECT -sum(p * ln(p)) FROM held) >= (SELECT h FROM target) OR (SELECT count(*) FROM held) < 2 THEN 1.0 ELSE lo END, {mixing.DECIMALS}) AS a
+          FROM steps WHERE i = {mixing.STEPS}),
+        quotas AS (
+          SELECT source, total, CASE WHEN total > 0 THEN CAST(round((SELECT max(total / total::DOUBLE ** a) FROM sources WHERE total > 0) * total::DOUBLE ** a) AS BIGINT) END AS quota
+          FROM sources, chosen),
+        placed AS (
+          SELECT r.*, q.total, q.quota,
+                 coalesce(sum(n_tokens) OVER (PARTITION BY r.source ORDER BY h RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+          FROM rows r JOIN quotas q ON r.source IS NOT DISTINCT FROM q.source)
+        SELECT doc_id, source, n_tokens,
+               CAST(CASE WHEN total > 0 THEN quota // total + CAST(before < quota % total AS BIGINT) ELSE 1 END AS BIGINT) AS copies
+        FROM placed""",
 }
