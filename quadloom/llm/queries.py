@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadloom.llm import licenses, line_dedup, mixing, pieces, quality, token_counts
+from quadloom.llm import licenses, line_dedup, mixing, near_dup, pieces, quality, token_counts
 from quadloom.llm.workspace import new_path
 
 #: Names of vocabulary files; each executor looks up where its own copy lies.
@@ -33,6 +33,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op2_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_dup_classes(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.quality_rules(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.drop("text")
@@ -69,6 +73,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_near_dup": op2_near_dup,
     "op4_quality_rules": op4_quality_rules,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_license_scan": op7_license_scan,
