@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadloom.llm import licenses, line_dedup, mixing, near_dup, pieces, quality, token_counts
+from quadloom.llm import ann, licenses, line_dedup, mixing, near_dup, pieces, quality, token_counts
 from quadloom.llm.workspace import new_path
 
 #: Names of vocabulary files; each executor looks up where its own copy lies.
@@ -56,6 +56,11 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = ann.usable(_table(spark, sf_dir, "embeddings"))
+    return ann.search(vectors, vectors.where("id % 100 = 0"), k=10)
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
     import public_tokenizers
@@ -77,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4_quality_rules,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_license_scan": op7_license_scan,
+    "op8_nearest": op8_nearest,
     "op9_token_counts": op9_token_counts,
     "op10_source_mixing": op10_source_mixing,
 }
