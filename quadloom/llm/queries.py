@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadloom.llm import ann, licenses, line_dedup, mixing, near_dup, pieces, quality, token_counts
+from quadloom.llm import ann, licenses, line_dedup, mixing, near_dup, pieces, quality, secrets, token_counts, toxicity
 from quadloom.llm.workspace import new_path
 
 #: Names of vocabulary files; each executor looks up where its own copy lies.
@@ -37,11 +37,29 @@ def op2_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_dup_classes(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(4)) == 2
+    labels = _table(spark, sf_dir, "labels").where(~held_out).select("doc_id", "toxic")
+    model = toxicity.LanguageModel(toxicity.letter_counts(docs))
+    learnt = toxicity.fit(docs.join(labels, "doc_id").select("text", "toxic"), model)
+    scored = toxicity.score(docs, model, learnt)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.quality_rules(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.drop("text")
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = lambda x: x["kind"] != "novel"
+    joined = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+    number = lambda kind: F.size(F.filter("secrets", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(number, secrets.KINDS), F.sha2(joined(F.filter("secrets", base)), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"))
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return piece_digests(pieces.encode(docs, tokenizer_file(PIECE_MODEL), end=True, decoded=True))
@@ -79,7 +97,9 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_near_dup": op2_near_dup,
+    "op3_toxicity": op3_toxicity,
     "op4_quality_rules": op4_quality_rules,
+    "op5_secrets": op5_secrets,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_license_scan": op7_license_scan,
     "op8_nearest": op8_nearest,
