@@ -6,6 +6,8 @@ import numpy as np
 
 SLOTS = 4
 MAX_KICKS = 500
+#: The share of slots beyond which a table counts as full; kick chains stay short below it.
+MAX_LOAD = 0.8
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -25,9 +27,10 @@ class CuckooFilter:
     """
 
     def __init__(self, capacity: int, table: np.ndarray | None = None):
-        need = max(1, int(capacity / (SLOTS * 0.85)) + 1)
+        need = max(1, int(capacity / (SLOTS * MAX_LOAD)) + 1)
         self.table = np.zeros((1 << (need - 1).bit_length(), SLOTS), np.uint16) if table is None else table
         self.mask = np.uint64(len(self.table) - 1)
+        self.used = int(np.count_nonzero(self.table))
 
     def _places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         h = _mix(hashes.view(np.uint64) if hashes.dtype == np.int64 else hashes)
@@ -47,13 +50,17 @@ class CuckooFilter:
 
     def insert(self, hashes: np.ndarray) -> np.ndarray:
         """Insert distinct hashes; returns those that found no room (the filter is then as before them)."""
+        room = max(0, int(MAX_LOAD * self.table.size) - self.used)
+        hashes, later = hashes[:room], hashes[room:]
         if not len(hashes):
-            return hashes
+            return later
         fp, a, b = self._places(hashes)
         left = np.arange(len(fp))
         for at in (a, b):
             left = left[~self._place(at[left], fp[left])]
-        return hashes[[i for i in left if not self._kick(fp[i], int(a[i]))]]
+        failed = [i for i in left if not self._kick(fp[i], int(a[i]))]
+        self.used += len(hashes) - len(failed)
+        return np.concatenate([hashes[failed], later])
 
     def _place(self, at: np.ndarray, fp: np.ndarray) -> np.ndarray:
         """Fill free slots, several hashes of a bucket in one go; which found one."""
@@ -95,14 +102,16 @@ class CuckooFilter:
                 found = np.flatnonzero(self.table[at] == fp)
                 if len(found):
                     self.table[at, found[0]] = 0
+                    self.used -= 1
                     break
 
 
 class FilterStack:
     """A shard's filter: when one table is full the next, twice as large, takes what is left."""
 
-    def __init__(self, filters: list[CuckooFilter] | None = None):
-        self.filters = filters or []
+    def __init__(self, filters: list[CuckooFilter] | None = None, planned: int = 1):
+        """planned: the number of hashes that a first table is made for."""
+        self.filters, self.planned = filters or [], planned
 
     def contains(self, hashes: np.ndarray) -> np.ndarray:
         found = np.zeros(len(hashes), bool)
@@ -113,7 +122,7 @@ class FilterStack:
     def insert(self, hashes: np.ndarray) -> None:
         left = self.filters[-1].insert(hashes) if self.filters else hashes
         while len(left):
-            self.filters.append(CuckooFilter(max(len(left), 2 * self.filters[-1].table.size if self.filters else 1)))
+            self.filters.append(CuckooFilter(max(len(left), 2 * self.filters[-1].table.size if self.filters else self.planned)))
             left = self.filters[-1].insert(left)
 
     def delete(self, hashes: np.ndarray) -> None:

@@ -40,8 +40,9 @@ from quadloom.llm.workspace import materialize
 
 MIN_CHARS = 40
 MIN_DOCS = 5
-#: Keys that a shard's filter is planned for, and copies of a shard that probing spreads a hot key over.
-SHARD_KEYS = 1 << 18
+#: Keys that a shard's filter is planned for at most, and at least if that gives every partition a shard;
+#: copies of a shard that probing spreads a hot key over.
+SHARD_KEYS, LEAST_SHARD_KEYS = 1 << 18, 1 << 12
 PROBE_COPIES = 16
 
 _PAIRS = "doc_id long, k1 long, k2 long"
@@ -83,7 +84,7 @@ def _shard(n_shards: int):
     return F.pmod(F.col("k2"), F.lit(n_shards)).cast("int")
 
 
-def _through_filters(keys: DataFrame, filters: DataFrame, step: str, parts: int) -> DataFrame:
+def _through_filters(keys: DataFrame, filters: DataFrame, step: str, parts: int, planned: int = 1) -> DataFrame:
     """Stream each shard's filter and then its keys past one task.
 
     keys: (shard, copy, k1, k2, ...longs); filters: (shard, copy, blob). Adds ``known``.
@@ -114,7 +115,7 @@ def _through_filters(keys: DataFrame, filters: DataFrame, step: str, parts: int)
             for lo, hi in zip(cuts, [*cuts[1:], len(shard)], strict=True):
                 if (where := (int(shard[lo]), int(copy[lo]))) != at:
                     yield from over()
-                    at, held = where, FilterStack()
+                    at, held = where, FilterStack(planned=planned)
                 if has_blob[lo]:
                     held = FilterStack.from_bytes(blobs[int(lo)].as_py())
                     continue
