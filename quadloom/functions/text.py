@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Letters that do not decompose. Fixed values.
 TRANSLITERATED = {"ø": "o", "æ": "ae", "œ": "oe", "ß": "ss", "ð": "d", "þ": "th", "ł": "l", "đ": "d", "ħ": "h", "ŋ": "ng", "ı": "i", "ĸ": "k"}
@@ -19,7 +20,7 @@ def fold_text(text: str) -> str:
     return "".join(c for c in decomposed if unicodedata.category(c) != "Mn")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _fold(text: pd.Series) -> pd.Series:
     return text.map(fold_text, na_action="ignore")
 

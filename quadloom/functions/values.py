@@ -8,6 +8,7 @@ from datetime import UTC, datetime
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 _ISO = re.compile(r"([+-]?)(\d{4,6}|\d{1,6}(?=\Z|-))(?:-(\d\d)(?:-(\d\d))?)?(?:T(\d\d):(\d\d)(?::(\d\d)(\.\d+)?)?(Z|[+-]\d\d:?\d\d)?)?\Z")
 #: The widest time that the codec holds, as milliseconds either side of 1970.
@@ -56,7 +57,7 @@ def seconds_to_iso(seconds: int) -> str:
     return f"{shown}-{month:02d}-{date:02d}T{rest // 3600:02d}:{rest % 3600 // 60:02d}:{rest % 60:02d}.000Z"
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def _deep_seconds(text: pd.Series) -> pd.Series:
     return text.map(iso_to_seconds, na_action="ignore").astype("Int64")
 

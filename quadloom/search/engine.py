@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from quadloom.functions.text import fold_text, tokens
 from quadloom.functions.values import iso_to_seconds
 from quadloom.search.query import RELEVANCE, Criterion, Filter, SearchQuery, Sort, unsatisfiable, validate_query
-from quadloom.search.schema import KINDS, Field, JoinGraph, SearchSchema, SearchType
+from quadloom.search.schema import KINDS, Field, JoinGraph, Range, SearchSchema, SearchType
 
 FACET_VALUES = 10
 
@@ -209,7 +209,7 @@ class SearchEngine:
         for name in query.facets:
             others = [x for x, clause in zip(flags, query.where, strict=True) if clause.owned != name]
             admitted = reduce(Column.__and__, others) if others else F.lit(True)
-            per_facet.append(F.when(admitted, F.transform(self._buckets(search_type.field(name)), lambda b, n=name: F.struct(F.lit(n).alias("field"), b["value"].alias("value"), b["min"].alias("min"), b["max"].alias("max")))))
+            per_facet.append(F.when(admitted, self._named_buckets(search_type.field(name))))
         empty = F.expr("cast(array() as array<struct<field: string, value: string, min: double, max: double>>)")
         single = rows.select(F.explode(F.flatten(F.array(*(F.coalesce(x, empty) for x in per_facet)))).alias("b")).select("b.*")
         counts = single.groupBy("field", "value", "min", "max").agg(F.count("*").alias("count"))
@@ -220,6 +220,9 @@ class SearchEngine:
         rank = F.row_number().over(Window.partitionBy("field").orderBy(F.desc("count"), "value"))
         return counts.withColumn("__rank", rank).where(F.col("__rank") <= top).drop("__rank").select("field", "value", "count", "min", "max")
 
+    def _named_buckets(self, f: Field) -> Column:
+        return F.transform(self._buckets(f), lambda b: F.struct(F.lit(f.name).alias("field"), b["value"].alias("value"), b["min"].alias("min"), b["max"].alias("max")))
+
     @staticmethod
     def _buckets(f: Field) -> Column:
         """The buckets of a document: its distinct values, or the bins that hold its value. Bins may overlap."""
@@ -227,11 +230,14 @@ class SearchEngine:
         values = F.array_distinct(F.col(f.name)) if f.array else F.array(F.col(f.name))
         if not f.facet_ranges:
             return F.transform(F.array_compact(values), lambda v: F.struct(v.cast("string").alias("value"), null.alias("min"), null.alias("max")))
-        bins = []
-        for r in f.facet_ranges:
-            inside = F.exists(values, lambda v, r=r: F.coalesce((v >= F.lit(r.min) if r.min is not None else v.isNotNull()) & (v < F.lit(r.max) if r.max is not None else F.lit(True)), F.lit(False)))
-            bins.append(F.when(inside, F.struct(F.lit(r.key).alias("value"), F.lit(r.min).cast("double").alias("min"), F.lit(r.max).cast("double").alias("max"))))
-        return F.array_compact(F.array(*bins))
+
+        def bin_of(r: Range) -> Column:
+            above = lambda v: v >= F.lit(r.min) if r.min is not None else v.isNotNull()
+            below = lambda v: v < F.lit(r.max) if r.max is not None else F.lit(True)
+            inside = F.exists(values, lambda v: F.coalesce(above(v) & below(v), F.lit(False)))
+            return F.when(inside, F.struct(F.lit(r.key).alias("value"), F.lit(r.min).cast("double").alias("min"), F.lit(r.max).cast("double").alias("max")))
+
+        return F.array_compact(F.array(*map(bin_of, f.facet_ranges)))
 
     def search_facets(self, type_name: str, queries: list[SearchQuery]) -> list[DataFrame | Exception]:
         """One outcome a query, in order; a query that is wrong does not stop the others."""

@@ -71,7 +71,7 @@ def _columns(f: Field) -> dict[str, Column]:
             if f.searchable:
                 out[f"{f.name}_search_{x}"] = F.when(F.size(all_of) > 0, fold(F.trim(F.array_join(all_of, " "))))
             if f.sortable:
-                out[f"{f.name}_sort_{x}"] = F.when(F.size(all_of) > 0, fold(F.element_at(all_of, 1)))
+                out[f"{f.name}_sort_{x}"] = F.when(F.size(all_of) > 0, fold(F.try_element_at(all_of, F.lit(1))))
         return out
     if f.kind in ("keyword", "reference"):
         return {f.name: F.array_distinct(texts) if f.array else first}
