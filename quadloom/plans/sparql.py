@@ -737,10 +737,8 @@ def inject_values(q: Query, names: list[str], rows: list[list[str]]) -> Query:
         for kind, x in group.steps:
             if kind == "query":
                 return inner(x.where)
-            if kind == "union" and len(x) == 1:
-                found = inner(x[0])
-                if found is not x[0] or any(k == "query" for k, _ in x[0].steps):
-                    return found
+            if kind == "union" and len(x) == 1 and any(k == "query" for k, _ in x[0].steps):
+                return inner(x[0])
         return group
 
     inner(q.where).steps.append(values)
