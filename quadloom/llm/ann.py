@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from quadloom.llm.workspace import materialize
+from quadloom.llm.workspace import mapped, materialize
 
 SAMPLE, SAMPLE_QUERIES = 16384, 512
 BITS, SUBSTRING = 256, 8
@@ -171,6 +171,6 @@ def search(table: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
             q, v, s = zip(*out, strict=True) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.float64())], ["query_id", "vec_id", "score"])
 
-    near = dealt.mapInArrow(run, "query_id long, vec_id long, score double")
+    near = mapped(dealt, run, "query_id long, vec_id long, score double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

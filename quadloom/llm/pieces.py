@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
+from quadloom.llm.workspace import mapped
+
 MARK = "▁"
 TABLE_WORDS = 300_000
 SLICE_BYTES = 4 << 20
@@ -131,7 +133,7 @@ def encode(docs: DataFrame, model_path: str | Callable[[], str], end: bool = Tru
                     columns.append(pa.array([table.decode(flat[a:b].tolist()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, [*names, *added])
 
-    return rows.mapInArrow(run, StructType([*rows.schema.fields, *fields]))
+    return mapped(rows, run, StructType([*rows.schema.fields, *fields]))
 
 
 def decode(rows: DataFrame, model_path: str | Callable[[], str], ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -146,4 +148,4 @@ def decode(rows: DataFrame, model_path: str | Callable[[], str], ids: str = "ids
             texts = [None if x is None else table.decode(x) for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*names, out])
 
-    return kept.mapInArrow(run, StructType([*kept.schema.fields, StructField(out, StringType())]))
+    return mapped(kept, run, StructType([*kept.schema.fields, StructField(out, StringType())]))

@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from quadloom.llm.workspace import mapped
+
 MIN_WORDS = 10
 BASE_WINDOW = 5
 BASE_REPEAT_PERCENT = 20
@@ -141,4 +143,4 @@ def quality_rules(docs: DataFrame) -> DataFrame:
             arrays = [pa.array(c, kinds[x.split()[1]]) for c, x in zip(columns, METRICS.split(", "), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], [*names, *added])
 
-    return rows.mapInArrow(run, schema)
+    return mapped(rows, run, schema)

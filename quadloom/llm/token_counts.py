@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from quadloom.llm.pieces import slices
+from quadloom.llm.workspace import mapped
 
 #: Counts the tokens of each text of a list; made once for each worker.
 Counter = Callable[[list[str]], "np.ndarray"]
@@ -87,7 +88,7 @@ def count_tokens(docs: DataFrame, tokenizers: dict[str, Callable[[], Counter]],
             chars = pa.array([len(x) for x in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([*part.columns[:-1], *counts, chars], [*keep, *added])
 
-    return rows.mapInArrow(run, StructType([*rows.schema.fields[:-1], *(StructField(c, LongType()) for c in added)]))
+    return mapped(rows, run, StructType([*rows.schema.fields[:-1], *(StructField(c, LongType()) for c in added)]))
 
 
 class TokenLedger:

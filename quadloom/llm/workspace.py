@@ -3,10 +3,17 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
+
+#: The text that goes to a Python worker at once; the session's own setting holds if it is less.
+BATCH_BYTES = 16 << 20
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -36,6 +43,31 @@ def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> Da
     return out.select(*df.columns)
 
 
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
+    """df through a function of Arrow batches, in batches of bounded bytes; workers give memory back when a partition ends."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = str(conf.get(name, "64m")).rstrip("b")
+    if not held.isdigit() or int(held) > BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(tidied, schema)
+
+
+def give_back() -> None:
+    """Free memory that this process holds but does not use goes back to the machine."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: it keeps what it keeps
+        return
+
+
 def _remove_written() -> None:
     for spark, path in _written:
         try:
