@@ -93,17 +93,19 @@ class CuckooFilter:
             table[at, slot] = was
         return False
 
-    def delete(self, hashes: np.ndarray) -> None:
-        """Take out hashes that were inserted."""
-        if not len(hashes):
-            return
-        for fp, a, b in zip(*self._places(hashes), strict=True):
-            for at in (a, b):
+    def delete(self, hashes: np.ndarray) -> np.ndarray:
+        """Take out one fingerprint a hash; returns the hashes that had none."""
+        missing = []
+        for i, (fp, *places) in enumerate(zip(*self._places(hashes), strict=True) if len(hashes) else ()):
+            for at in places:
                 found = np.flatnonzero(self.table[at] == fp)
                 if len(found):
                     self.table[at, found[0]] = 0
                     self.used -= 1
                     break
+            else:
+                missing.append(i)
+        return hashes[missing]
 
 
 class FilterStack:
@@ -127,9 +129,7 @@ class FilterStack:
 
     def delete(self, hashes: np.ndarray) -> None:
         for f in self.filters:
-            there = f.contains(hashes)
-            f.delete(hashes[there])
-            hashes = hashes[~there]
+            hashes = f.delete(hashes)
 
     def to_bytes(self) -> bytes:
         sizes = np.array([len(self.filters), *(len(f.table) for f in self.filters)], np.int64)

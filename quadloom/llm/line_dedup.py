@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from quadloom.llm.cuckoo import FilterStack
-from quadloom.llm.workspace import materialize
+from quadloom.llm.workspace import mapped, materialize
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -46,6 +46,7 @@ SHARD_KEYS, LEAST_SHARD_KEYS = 1 << 18, 1 << 12
 PROBE_COPIES = 16
 
 _PAIRS = "doc_id long, k1 long, k2 long"
+_REFS = "shard int, k1 long, k2 long, refs long, keeper long"
 
 
 def line_key(line: bytes, min_chars: int) -> bytes | None:
@@ -77,7 +78,7 @@ def line_pairs(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(docs_of, pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1])], ["doc_id", "k1", "k2"])
 
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(pairs, _PAIRS)
+    return mapped(rows, pairs, _PAIRS)
 
 
 def _shard(n_shards: int):
@@ -88,7 +89,7 @@ def _through_filters(keys: DataFrame, filters: DataFrame, step: str, parts: int,
     """Stream each shard's filter and then its keys past one task.
 
     keys: (shard, copy, k1, k2, ...longs); filters: (shard, copy, blob). Adds ``known``.
-    step "insert": keys that are not known enter the filter; "delete": all leave it; "test": it stays.
+    step "insert": the keys enter the filter; "delete": they leave it; "test": it stays as it is.
     Unless testing, the filters come back too, as rows with a blob.
     """
     names = [c for c in keys.columns if c not in ("shard", "copy")]
@@ -123,14 +124,14 @@ def _through_filters(keys: DataFrame, filters: DataFrame, step: str, parts: int,
                 hashes = part.column(part.schema.get_field_index("k1")).to_numpy()
                 known = held.contains(hashes)
                 if step == "insert":
-                    held.insert(hashes[~known])
+                    held.insert(hashes)
                 elif step == "delete":
                     held.delete(hashes)
                 columns = [part.column(part.schema.get_field_index(c)) for c in ("shard", *names)]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(known), pa.nulls(len(known), pa.binary())], ["shard", *names, "known", "blob"])
         yield from over()
 
-    return dealt.mapInArrow(run, schema)
+    return mapped(dealt, run, schema)
 
 
 def _parts(spark: SparkSession) -> int:
@@ -140,33 +141,36 @@ def _parts(spark: SparkSession) -> int:
 class LineIndex:
     """A reversible index of long lines; every change gives a new one and leaves this as it is."""
 
-    def __init__(self, postings: DataFrame, refs: DataFrame, filters: DataFrame, n_shards: int, min_chars: int):
+    def __init__(self, postings: DataFrame, refs: DataFrame, filters: DataFrame, n_shards: int | None, min_chars: int):
         self.postings, self.refs, self.filters, self.n_shards, self.min_chars = postings, refs, filters, n_shards, min_chars
 
     @classmethod
-    def empty(cls, spark: SparkSession, min_chars: int = MIN_CHARS, expected_keys: int = 0) -> LineIndex:
-        """expected_keys: the number of distinct keys to plan shards for; filters grow beyond it."""
+    def empty(cls, spark: SparkSession, min_chars: int = MIN_CHARS, n_shards: int | None = None) -> LineIndex:
+        """n_shards: how many shards keys are dealt to for good; by default planned from the first insert."""
         make = lambda schema: spark.createDataFrame([], schema)
-        n_shards = max(1, -(-expected_keys // SHARD_KEYS))
-        return cls(make(_PAIRS), make("shard int, k1 long, k2 long, refs long, keeper long"), make("shard int, blob binary"), n_shards, min_chars)
+        return cls(make(_PAIRS), make(_REFS), make("shard int, blob binary"), n_shards, min_chars)
 
     def insert(self, docs: DataFrame) -> LineIndex:
+        first = self.postings.isEmpty()
         new = line_pairs(docs, self.min_chars).dropDuplicates(["k1", "k2", "doc_id"])
-        if not self.postings.isEmpty():
+        if not first:
             new = new.join(self.postings, ["k1", "k2", "doc_id"], "left_anti")
         new = materialize(new.select("doc_id", "k1", "k2"), "postings")
+        n_new = new.count()
+        n_shards = self.n_shards or max(1, -(-n_new // SHARD_KEYS), min(_parts(docs.sparkSession), -(-n_new // LEAST_SHARD_KEYS)))
         delta = new.groupBy("k1", "k2").agg(F.count("*").alias("refs"), F.max("doc_id").alias("keeper"))
-        out = self._pass(delta.withColumn("shard", _shard(self.n_shards)), "insert")
-        fresh, met = (out.where(x).select("shard", "k1", "k2", "refs", "keeper") for x in ("not known", "known"))
-        if self.postings.isEmpty():
-            # a filter's false alarms among the first keys: nothing is there to add to
-            refs = out.where("blob is null").select("shard", "k1", "k2", "refs", "keeper")
+        delta = materialize(delta.select(_shard(n_shards).alias("shard"), "k1", "k2", "refs", "keeper"), "delta")
+        if first:  # there is no filter yet: every key is new
+            fresh, refs = delta, delta
         else:
-            met = met.withColumnsRenamed({"refs": "more", "keeper": "later"})
-            old = self.refs.join(met, ["shard", "k1", "k2"], "full_outer")
-            sums = old.select("shard", "k1", "k2", (F.coalesce("refs", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("refs"), F.greatest("keeper", "later").alias("keeper"))
-            refs = materialize(sums.unionByName(fresh), "refs")
-        return LineIndex(self.postings.unionByName(new), refs, out.where("blob is not null").select("shard", "blob"), self.n_shards, self.min_chars)
+            tested = materialize(self._pass(delta, "test", n_shards), "tested")
+            met = tested.where("known").select("shard", "k1", "k2", F.col("refs").alias("more"), F.col("keeper").alias("later"))
+            false_alarms = met.join(self.refs, ["shard", "k1", "k2"], "left_anti").withColumnsRenamed({"more": "refs", "later": "keeper"})
+            fresh = materialize(tested.where("not known").select("shard", "k1", "k2", "refs", "keeper").unionByName(false_alarms), "fresh")
+            grown = self.refs.join(met, ["shard", "k1", "k2"], "left")
+            grown = grown.select("shard", "k1", "k2", (F.col("refs") + F.coalesce("more", F.lit(0))).alias("refs"), F.greatest("keeper", "later").alias("keeper"))
+            refs = materialize(grown.unionByName(fresh), "refs")
+        return LineIndex(self.postings.unionByName(new), refs, self._refilled(fresh, "insert", n_shards, n_new // n_shards), n_shards, self.min_chars)
 
     def delete(self, doc_ids: DataFrame) -> LineIndex:
         """Take documents out; doc_ids has a column doc_id, unknown ones count for nothing."""
@@ -179,13 +183,15 @@ class LineIndex:
         less = F.coalesce("less", F.lit(0))
         changed = changed.select("shard", "k1", "k2", (F.col("refs") - less).alias("refs"), F.when(less > 0, F.col("next")).otherwise(F.col("keeper")).alias("keeper"))
         changed = materialize(changed, "refs")
-        out = self._pass(changed.where("refs = 0"), "delete")
-        return LineIndex(kept, changed.where("refs > 0"), out.where("blob is not null").select("shard", "blob"), self.n_shards, self.min_chars)
+        return LineIndex(kept, changed.where("refs > 0"), self._refilled(changed.where("refs = 0"), "delete", self.n_shards), self.n_shards, self.min_chars)
 
-    def _pass(self, keys: DataFrame, step: str) -> DataFrame:
-        spark, zero = keys.sparkSession, F.lit(0).alias("copy")
+    def _pass(self, keys: DataFrame, step: str, n_shards: int, planned: int = 1) -> DataFrame:
+        zero = F.lit(0).alias("copy")
         keys = keys.select("shard", zero, "k1", "k2", "refs", "keeper")
-        return materialize(_through_filters(keys, self.filters.select("shard", zero, "blob"), step, max(_parts(spark), self.n_shards)), "filtered")
+        return _through_filters(keys, self.filters.select("shard", zero, "blob"), step, max(_parts(keys.sparkSession), n_shards), planned)
+
+    def _refilled(self, keys: DataFrame, step: str, n_shards: int, planned: int = 1) -> DataFrame:
+        return materialize(self._pass(keys, step, n_shards, planned).where("blob is not null").select("shard", "blob"), "filters")
 
     def common(self, min_docs: int = MIN_DOCS) -> DataFrame:
         return self.refs.where(F.col("refs") >= min_docs)
@@ -234,18 +240,10 @@ def _drop_lines(held: DataFrame, names: list[str], min_chars: int) -> DataFrame:
             columns[at] = pa.array(out, pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays([*columns, pa.array(lines_in, pa.int64()), pa.array(dropped, pa.int64())], [*names, "n_lines", "n_dropped"])
 
-    return held.mapInArrow(run, schema)
+    return mapped(held, run, schema)
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> DataFrame:
     """Index docs from nothing and drop their common lines: docs with new text, n_lines and n_dropped."""
-    index = LineIndex.empty(docs.sparkSession, min_chars)
-    first = line_pairs(docs, min_chars)
-    # shards for one row a document and key: at least as many as the keys that will come
-    index.n_shards = max(1, -(-first_count(first) // SHARD_KEYS))
-    index = index.insert(docs)
+    index = LineIndex.empty(docs.sparkSession, min_chars).insert(docs)
     return index.apply(docs, min_docs, index.postings)
-
-
-def first_count(pairs: DataFrame) -> int:
-    return pairs.count()
