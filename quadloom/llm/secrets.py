@@ -5,8 +5,8 @@ is a string of ``MIN_CHARS`` or more letters, digits and ``+/_=-`` in a
 sensitive context, a word such as key, credential or bearer shortly before it.
 Its novelty is the number of bytes that it adds to a zstandard frame of the
 text around it, primed with a dictionary of identifiers and code: what
-ordinary names, repeated strings or near text explain adds little, a random
-string adds nearly its entropy. Candidates whose added bits a character reach
+ordinary names or near text explain adds little, a random string adds nearly
+its entropy. Words of letters in one case are no candidates. Candidates whose added bits a character reach
 ``MIN_BITS`` are reported as ``novel``, unless a base span overlaps them.
 
 Places are code points, ends exclusive. Defined results: null text is empty;
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from quadloom.llm.pieces import slices
+from quadloom.llm.workspace import mapped
 
 KINDS = ["assign", "access", "hex", "novel"]
 #: Fixed patterns of the base spans and the least length of what they find.
@@ -36,6 +37,7 @@ ASSIGN_CHARS, ACCESS_CHARS = 6, 20
 #: Words that make what follows sensitive, and how far they reach.
 _CONTEXT = re.compile(r"(?:key|credential|passphrase|passcode|bearer|auth|signature|private|secret|token|password|pwd)[A-Za-z_]*\W{0,12}$", re.IGNORECASE | re.ASCII)
 _CONTEXT_WORDS = ("key", "credential", "passphrase", "passcode", "bearer", "auth", "signature", "private", "secret", "token", "password", "pwd")
+_MIXED = re.compile("[0-9]|[a-z][A-Z]|[A-Z][A-Z][a-z]")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 MIN_CHARS, REACH, AROUND = 16, 40, 256
 MIN_BITS = 3.2
@@ -66,8 +68,8 @@ class Novelty:
         self.pack = zstandard.ZstdCompressor(level=9, dict_data=primer, write_content_size=False).compress
 
     def bits(self, before: str, candidate: str, after: str) -> float:
-        """Bits a character that the candidate adds to what stands around it."""
-        around = (before + "\n" + after).encode()
+        """Bits a character that the candidate adds to what stands around it, copies of itself left out."""
+        around = (before + "\n" + after).replace(candidate, "").encode()
         return 8 * (len(self.pack(around + b"\n" + candidate.encode())) - len(self.pack(around + b"\n"))) / len(candidate)
 
 
@@ -91,7 +93,7 @@ def novel_spans(text: str, base: list[tuple[int, int, str]], novelty: Novelty) -
         a, b = m.span()
         while at < len(base) and base[at][1] <= a and all(x[1] <= a for x in base[: at + 1][-3:]):
             at += 1
-        if any(x < b and a < y for x, y, _ in base[max(0, at - 3) : at + 64]) or not _CONTEXT.search(text, max(0, a - REACH), a):
+        if not _MIXED.search(m[0]) or any(x < b and a < y for x, y, _ in base[max(0, at - 3) : at + 64]) or not _CONTEXT.search(text, max(0, a - REACH), a):
             continue
         if novelty.bits(text[max(0, a - AROUND) : a], m[0], text[b : b + AROUND]) >= MIN_BITS:
             out.append((a, b, "novel"))
@@ -119,4 +121,4 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
                 out.append([{"kind": k, "start": a, "end": b} for a, b, k in found])
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, kind)], [*names, "secrets"])
 
-    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("secrets", _SPANS)]))
+    return mapped(rows, run, StructType([*rows.schema.fields, StructField("secrets", _SPANS)]))
