@@ -117,15 +117,15 @@ def exponent(sources: DataFrame, entropy_share: float = ENTROPY_SHARE, max_passe
 def source_budgets(sources: DataFrame, a: float, budget: int | None = None) -> DataFrame:
     """(source, total, n_docs, weight, passes, rest): whole passes, and tokens of one more."""
     held = F.when(F.col("total") > 0, F.pow(F.col("total").cast("double"), F.lit(a))).otherwise(0.0)
-    norm = sources.agg(F.sum(held).alias("norm"), F.max(F.when(F.col("total") > 0, F.col("total") / held)).alias("full"))
+    norm, full = sources.agg(F.sum(held), F.max(F.when(F.col("total") > 0, F.try_divide("total", held)))).first()  # two numbers
     # the budget over the norm: with none given, the least for which each source's passes reach 1
-    scale = F.col("full") if budget is None else F.lit(float(budget)) / F.col("norm")
-    out = sources.crossJoin(F.broadcast(norm)).select("source", "total", "n_docs", F.coalesce(held / F.col("norm"), F.lit(0.0)).alias("weight"), F.round(scale * held).cast("long").alias("quota"))
+    scale = F.lit((full or 0.0) if budget is None else float(budget) / norm if norm else 0.0)
+    out = sources.select("source", "total", "n_docs", F.coalesce(F.try_divide(held, F.lit(norm or 0.0)), F.lit(0.0)).alias("weight"), F.round(scale * held).cast("long").alias("quota"))
     total = F.col("total")
     return out.select(
         "source", "total", "n_docs", "weight",
-        F.when(total > 0, F.floor(F.col("quota") / total)).otherwise(1).cast("long").alias("passes"),
-        F.when(total > 0, F.col("quota") % total).otherwise(0).cast("long").alias("rest"),
+        F.when(total > 0, F.floor(F.try_divide("quota", "total"))).otherwise(1).cast("long").alias("passes"),
+        F.when(total > 0, F.try_mod("quota", "total")).otherwise(0).cast("long").alias("rest"),
     )
 
 
