@@ -14,7 +14,7 @@
    its words' weights, each word by its best feature. Logistic regression turns
    evidence into a score; for it, each half of the rows has the evidence of
    the other half's features, so luck in their choice does not count.
-   It fits on ``SAMPLE`` labelled rows at most (those of the least hash).
+   It fits on about ``SAMPLE`` labelled rows at most, chosen by a hash.
 4. A text's score is the regression's for the evidence of its restored words.
 
 Lang, source and doc_id are no inputs. Defined results: null text is empty; an
@@ -36,8 +36,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadloom.llm.pieces import slices
+from quadloom.llm.workspace import mapped, materialize
 
 SAMPLE = 40_000
+#: Words whose weight a worker keeps.
+MET_WORDS = 200_000
 #: Word beginnings that are features, by length.
 PREFIXES = (5, 6, 7)
 MIN_TEXTS, MIN_RATIO, CHANCE = 4, 12.0, 0.1
@@ -88,7 +91,7 @@ def letter_counts(docs: DataFrame) -> np.ndarray:
 
     rows = docs.select(F.col("text").cast("string").alias("text"))
     out = np.zeros(_N**3)
-    for row in rows.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():  # _N ** 3 rows at most
+    for row in mapped(rows, run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():  # _N ** 3 rows at most
         out[row.gram] = row.n
     return out
 
@@ -203,77 +206,117 @@ class ToxicityModel:
     """Features with their weights, and the regression from evidence to score."""
 
     def __init__(self, held: dict[str, float], bias: float = 0.0, slope: float = 1.0):
-        self.held, self.bias, self.slope = held, bias, slope
+        self.held, self.bias, self.slope, self.met = held, bias, slope, {}
 
     def word(self, word: str) -> float:
         """What a word's best feature weighs; 0 if nothing points to it."""
-        held = self.held
-        return max(held.get(word, 0.0), held.get(f"={word}", 0.0), *(held.get(f"{word[:n]}*", 0.0) for n in PREFIXES if len(word) >= n), 0.0)
+        found = self.met.get(word)
+        if found is None:
+            held = self.held
+            found = max(held.get(word, 0.0), held.get(f"={word}", 0.0), *(held.get(f"{word[:n]}*", 0.0) for n in PREFIXES if len(word) >= n), 0.0)
+            if len(self.met) >= MET_WORDS:
+                self.met.clear()
+            self.met[word] = found
+        return found
 
     def evidence(self, words: set[str]) -> float:
-        return sum(map(self.word, sorted(words)))
+        return sum(sorted(x for x in map(self.word, words) if x))
 
     def score(self, words: set[str]) -> float:
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, self.bias + self.slope * self.evidence(words)))))
 
 
-def _chosen(sample: list[tuple[set[str], int]]) -> dict[str, float]:
-    """The features that point to toxic texts, and their weights."""
-    toxic = sum(y for _, y in sample)
-    clean = len(sample) - toxic
-    if not toxic or not clean:
-        return {}
-    yes, no = Counter(), Counter()
-    for words, y in sample:
-        (yes if y else no).update(features(words))
-    share, tried, found = toxic / len(sample), len(yes), []
-    for f, n in yes.items():
-        total = n + no[f]
-        if n < MIN_TEXTS or n / toxic < MIN_RATIO * (no[f] + 0.5) / clean:
+def _chosen(counts: list[tuple[str, int, int]], toxic: int, clean: int, tried: int) -> dict[str, float]:
+    """The features (name, toxic holders, other holders) that point to toxic texts, and their weights."""
+    found, share = [], toxic / max(1, toxic + clean)
+    for f, n, no in counts:
+        if not clean or n < MIN_TEXTS or n / toxic < MIN_RATIO * (no + 0.5) / clean:
             continue
         # the tail of the binomial, bounded by its exponent
+        total = n + no
         p = n / total
-        tail = n * math.log(p / share) + (total - n) * math.log((1 - p) / (1 - share)) if p < 1 else n * -math.log(share)
+        tail = n * math.log(p / share) + (no * math.log((1 - p) / (1 - share)) if no else 0.0)
         if tail > math.log(tried / CHANCE):
-            found.append((tail, f))
-    return {f: math.log((yes[f] + 0.5) / (toxic + 1) * (clean + 1) / (no[f] + 0.5)) for _, f in sorted(found, reverse=True)[:MAX_FEATURES]}
+            found.append((tail, f, math.log((n + 0.5) / (toxic + 1) * (clean + 1) / (no + 0.5))))
+    return {f: weight for _, f, weight in sorted(found, reverse=True)[:MAX_FEATURES]}
 
 
-def _learn(sample: list[tuple[set[str], int]]) -> ToxicityModel:
-    toxic = sum(y for _, y in sample)
-    base = (toxic + 0.5) / (len(sample) + 1)
-    start = math.log(base / (1 - base))
-    held = _chosen(sample)
-    if not held:
-        return ToxicityModel({}, start)
-    halves = sample[::2], sample[1::2]
-    x, y = [], []
-    for own, other in (halves, halves[::-1]):
-        model = ToxicityModel(_chosen(other))
-        x += [model.evidence(words) for words, _ in own]
-        y += [label for _, label in own]
-    x, y, w = np.array(x), np.array(y, float), np.array([start, 0.0])
-    rows = np.stack([np.ones(len(x)), x], 1)
-    for _ in range(50):  # Newton steps on the penalised likelihood
-        p = 1 / (1 + np.exp(-np.clip(rows @ w, -30, 30)))
-        curve = (rows * (p * (1 - p))[:, None]).T @ rows + 1e-2 * np.eye(2)
-        step = np.linalg.solve(curve, rows.T @ (y - p) - 1e-2 * (w - [start, 1.0]))
-        w = w + np.clip(step, -2, 2)
-    return ToxicityModel(held, float(w[0]), float(max(0.0, w[1])))
-
-
-def fit(rows: DataFrame, model: LanguageModel, sample: int = SAMPLE) -> ToxicityModel:
-    """rows: (text, toxic), labelled; the ``sample`` of least hash are read, their words restored on the executors."""
-    rows = rows.select(F.col("text").cast("string").alias("text"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)")
+def _restored(rows: DataFrame, model: LanguageModel) -> DataFrame:
+    """(words, toxic, half) of labelled texts, written out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(model)
         for batch in batches:
             words = [sorted(restorer.words(x or "")) for x in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.list_(pa.string())), batch.column(1)], ["words", "toxic"])
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.list_(pa.string())), *batch.columns[1:]], ["words", "toxic", "half"])
+
+    return materialize(mapped(rows, run, "words array<string>, toxic int, half int"), "restored")
+
+
+def _feature_counts(held: DataFrame) -> DataFrame:
+    """(feature, y0, y1, n0, n1): how many toxic and other texts of each half hold it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts: dict[str, list[int]] = {}
+            for words, toxic, half in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for f in features(set(words)):
+                    counts.setdefault(f, [0, 0, 0, 0])[2 * (1 - toxic) + half] += 1
+            columns = [pa.array([x[i] for x in counts.values()], pa.int64()) for i in range(4)]
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), *columns], ["feature", "y0", "y1", "n0", "n1"])
+
+    names = ["y0", "y1", "n0", "n1"]
+    return mapped(held, run, "feature string, y0 long, y1 long, n0 long, n1 long").groupBy("feature").agg(*(F.sum(c).alias(c) for c in names))
 
-    held = rows.orderBy(F.xxhash64("text"), "toxic").limit(sample)
-    return _learn([(set(r.words), r.toxic) for r in held.mapInArrow(run, "words array<string>, toxic int").toLocalIterator()])
+
+def _evidence(held: DataFrame, models: list[ToxicityModel]) -> list[tuple[float, int]]:
+    """(evidence, toxic) of each row, by the model of the half that it is not in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [models[1 - half].evidence(set(words)) for words, half in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.float64()), batch.column(1)], ["evidence", "toxic"])
+
+    rows = mapped(held, run, "evidence double, toxic int").groupBy("evidence", "toxic").count()
+    return [(r.evidence, r.toxic, r["count"]) for r in rows.collect()]  # two numbers a row of the sample, at most
+
+
+def fit(rows: DataFrame, model: LanguageModel, sample: int = SAMPLE) -> ToxicityModel:
+    """rows: (text, toxic), labelled. About ``sample`` of them at most are used, chosen by a hash of the text.
+
+    Features are counted on the executors; what may point to toxic texts comes to the driver.
+    """
+    rows = rows.select(F.col("text").cast("string").alias("text"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)")
+    mark = F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(1 << 20))
+    share = min(1.0, sample / max(1, rows.count()))
+    held = _restored(rows.where(mark < F.lit(int(share * (1 << 20)))).select("text", "toxic", F.pmod(F.xxhash64(F.coalesce("text", F.lit("")), F.lit(1)), F.lit(2)).cast("int").alias("half")), model)
+    of = {(r.toxic, r.half): r["count"] for r in held.groupBy("toxic", "half").count().collect()}
+    size = lambda toxic, *halves: sum(of.get((toxic, h), 0) for h in halves)
+    toxic, clean = size(1, 0, 1), size(0, 0, 1)
+    base = (toxic + 0.5) / (toxic + clean + 1)
+    start = math.log(base / (1 - base))
+    if not toxic or not clean:
+        return ToxicityModel({}, start)
+    counts = materialize(_feature_counts(held), "features")
+    tried = counts.where("y0 + y1 > 0").count()
+    likely = counts.where(F.col("y0") + F.col("y1") >= MIN_TEXTS).where((F.col("y0") + F.col("y1")) / toxic >= 0.5 * MIN_RATIO * (F.col("n0") + F.col("n1") + 0.5) / clean).collect()
+    chosen = _chosen([(r.feature, r.y0 + r.y1, r.n0 + r.n1) for r in likely], toxic, clean, tried)
+    halves = [_chosen([(r.feature, r[f"y{h}"], r[f"n{h}"]) for r in likely], size(1, h), size(0, h), tried) if size(1, h) else {} for h in (0, 1)]
+    if not chosen:
+        return ToxicityModel({}, start)
+    return ToxicityModel(chosen, *_regression(_evidence(held, [ToxicityModel(x) for x in halves]), start))
+
+
+def _regression(rows: list[tuple[float, int, int]], start: float) -> tuple[float, float]:
+    """Bias and slope of a logistic regression of toxic on evidence; rows: (evidence, toxic, how often)."""
+    x, y, n = (np.array(c, float) for c in zip(*sorted(rows), strict=True))
+    rows, w = np.stack([np.ones(len(x)), x], 1), np.array([start, 0.0])
+    for _ in range(50):  # Newton steps on the penalised likelihood
+        p = 1 / (1 + np.exp(-np.clip(rows @ w, -30, 30)))
+        curve = (rows * (n * p * (1 - p))[:, None]).T @ rows + 1e-2 * np.eye(2)
+        step = np.linalg.solve(curve, rows.T @ (n * (y - p)) - 1e-2 * (w - [start, 1.0]))
+        w = w + np.clip(step, -2, 2)
+    return float(w[0]), float(max(0.0, w[1]))
 
 
 def score(docs: DataFrame, model: LanguageModel, toxicity: ToxicityModel) -> DataFrame:
@@ -289,4 +332,4 @@ def score(docs: DataFrame, model: LanguageModel, toxicity: ToxicityModel) -> Dat
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores, pa.float64())], [*names, "score"])
 
     schema = rows.withColumn("score", F.lit(0.0)).schema
-    return rows.mapInArrow(run, schema)
+    return mapped(rows, run, schema)
