@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from quadloom.llm.components import components
 from quadloom.llm.darts import band_keys, sketch, strip_hash
 from quadloom.llm.pieces import slices
-from quadloom.llm.workspace import materialize
+from quadloom.llm.workspace import mapped, materialize
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -95,7 +95,7 @@ def sketches(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(halves[:, 0]), pa.array(halves[:, 1]), bands, pa.array(n.astype(np.int64))], ["doc_id", "c1", "c2", "bands", "n"])
 
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, c1 long, c2 long, bands array<long>, n long")
+    return mapped(rows, run, "doc_id long, c1 long, c2 long, bands array<long>, n long")
 
 
 def shingle_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -111,8 +111,9 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(blobs, pa.binary())], ["node", "shingles"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
-    return rows.mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"])
+    # sorted on doc_id at every size, so that one text a doc_id is left without another exchange
+    rows = rows.join(nodes.select(F.col("node").alias("doc_id")).hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return mapped(rows, run, "node long, shingles binary")
 
 
 def _resembling(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -133,7 +134,7 @@ def _resembling(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 keep.append(same >= SIMILARITY * (len(both) - same) - 1e-9)
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    return held.mapInArrow(run, "u long, v long")
+    return mapped(held, run, "u long, v long")
 
 
 def _links(nodes: np.ndarray, comps: np.ndarray, side: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -208,7 +209,7 @@ def _in_blocks(rest: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
         u, v = zip(*out, strict=True) if out else ((), ())
         return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
-    return dealt.mapInArrow(run, "u long, v long")
+    return mapped(dealt, run, "u long, v long")
 
 
 def near_dup_classes(docs: DataFrame) -> DataFrame:
