@@ -4,7 +4,9 @@ Words are runs of anything but ASCII white space. For each n-gram length a
 polynomial hash rolls over the word ids of a text in numpy; windows whose hash
 is found twice or more are compared word by word before they count, so a hash
 collision never changes a result. Coverage counts each character once, however
-many repeated windows lie over it.
+many repeated windows lie over it. Limits depend on a text's length: what is
+chance in a short text, a pair of words or a line said twice, is a small share
+of a long one.
 
 Defined results: null text has no words and is rejected, as empty text is;
 repeated rows are judged one by one; other columns are kept.
@@ -25,12 +27,16 @@ from quadloom.llm.workspace import mapped
 MIN_WORDS = 10
 BASE_WINDOW = 5
 BASE_REPEAT_PERCENT = 20
-#: The largest share of word characters that repeated n-grams may cover, by n; the first kind asks for
-#: the most frequent n-gram alone, the second for all that repeat. Longer n-grams repeat less by chance.
-TOP_NGRAM_SHARE = {2: 0.30, 3: 0.27, 4: 0.24}
-DUP_NGRAM_SHARE = {5: 0.25, 6: 0.24, 8: 0.22, 10: 0.20}
-DUP_LINE_SHARE = 0.50
-DUP_LINE_CHAR_SHARE = 0.40
+#: The largest share of word characters that repeated n-grams may cover, by n: (of long texts, of short ones).
+#: The first kind asks for the most frequent n-gram alone, the second for all that repeat. The former are the
+#: published limits, which lie well below the base rule's; ``limit`` says what lies between.
+TOP_NGRAM_SHARE = {2: (0.20, 0.30), 3: (0.18, 0.27), 4: (0.16, 0.24)}
+DUP_NGRAM_SHARE = {5: (0.15, 0.25), 6: (0.14, 0.24), 7: (0.13, 0.23), 8: (0.12, 0.22), 9: (0.11, 0.21), 10: (0.10, 0.20)}
+#: Words that a clean text of any length repeats: one line of ten words, say at its head and its foot.
+LINE_WORDS = 20
+#: The largest share of lines, and of their characters: (if two lines or more repeat, if one does).
+DUP_LINE_SHARE = (0.30, 0.50)
+DUP_LINE_CHAR_SHARE = (0.20, 0.40)
 
 _ROLL = np.uint64(0x9E3779B97F4A7C15)
 _SYMBOL = np.zeros(256, bool)
@@ -82,6 +88,11 @@ def covered(starts: np.ndarray, n: int, n_words: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
+def limit(shares: tuple[float, float], by_chance: int, n_words: int) -> float:
+    """The share that so many words repeated by chance make of the text, within the limits of long and short texts."""
+    return min(shares[1], max(shares[0], by_chance / n_words))
+
+
 def measure(text: bytes) -> tuple:
     """The METRICS of a text in UTF-8."""
     words = text.split()
@@ -115,13 +126,13 @@ def measure(text: bytes) -> tuple:
         if n in TOP_NGRAM_SHARE:
             windows = np.lib.stride_tricks.sliding_window_view(ids, n)
             share = float(lengths[covered((windows == ids[best : best + n]).all(1), n, n_words)].sum() / total)
-            top_share, top_over = max(top_share, share), top_over or share > TOP_NGRAM_SHARE[n]
+            top_share, top_over = max(top_share, share), top_over or share > limit(TOP_NGRAM_SHARE[n], 2 * n, n_words)
         if n in DUP_NGRAM_SHARE:
             share = float(lengths[inside].sum() / total)
-            dup_share, dup_over = max(dup_share, share), dup_over or share > DUP_NGRAM_SHARE[n]
+            dup_share, dup_over = max(dup_share, share), dup_over or share > limit(DUP_NGRAM_SHARE[n], LINE_WORDS, n_words)
     base_failed = n_words < MIN_WORDS or 100 * n_repeat > BASE_REPEAT_PERCENT * n_words
     line_share, line_char_share = n_dup / max(1, n_lines), dup_chars / max(1, line_chars)
-    kept = not (base_failed or top_over or dup_over or line_share > DUP_LINE_SHARE or line_char_share > DUP_LINE_CHAR_SHARE)
+    kept = not (base_failed or top_over or dup_over or line_share > DUP_LINE_SHARE[n_dup < 2] or line_char_share > DUP_LINE_CHAR_SHARE[n_dup < 2])
     return n_words, word_chars, n_symbols, n_dup, n_repeat, base_failed, top_share, dup_share, line_share, line_char_share, kept
 
 

@@ -46,3 +46,36 @@ def test_repetition_below_the_base_limit_is_judged_too():
     repeated = " ".join(words[:50] + ["averyveryverylongrepeatedword again"] * 9 + words[50:])
     assert not Q.measure(repeated.encode())[-1]
     assert Q.measure(" ".join(words).encode())[-1]
+
+
+def some(n, name="w"):
+    return [f"{name}{i:03}" for i in range(n)]
+
+
+PASSAGE = some(20, "p")
+REPETITIVE = {
+    "a passage twice": some(150) + PASSAGE + some(100, "v") + PASSAGE,
+    "short passages": [x for i in range(6) for x in [*some(6, f"p{i % 3}"), *some(35, f"v{i}")]],
+    "a pair of words": [x for i in range(40) for x in ["again", "always", *some(5, f"v{i}")]],
+    "lines": [x for i in range(40) for x in ["\nhome\n", *some(8, f"v{i}")]],
+}
+CLEAN = {
+    "no repetition": some(300),
+    "a line at head and foot": [*PASSAGE[:9], "\n", *some(110), "\n", *PASSAGE[:9]],
+    "a pair twice in a short text": "to be or not to be that is here the question".split(),
+    "one of three lines twice": ["so\n", *some(30), "\nso"],
+    "a passage twice in a long text": some(400) + PASSAGE + some(300, "v") + PASSAGE,
+}
+
+
+def test_cases_that_the_base_rule_leaves_open():
+    for name, words in REPETITIVE.items():
+        found = Q.measure(" ".join(words).replace(" \n", "\n").replace("\n ", "\n").encode())
+        assert not found[5] and not found[-1], name
+    for name, words in CLEAN.items():
+        found = Q.measure(" ".join(words).replace(" \n", "\n").replace("\n ", "\n").encode())
+        assert not found[5] and found[-1], name
+
+
+def test_limits_lie_between_those_of_long_and_short_texts():
+    assert [Q.limit((0.1, 0.2), 20, n) for n in (1, 100, 160, 200, 9000)] == [0.2, 0.2, 0.125, 0.1, 0.1]
