@@ -7,6 +7,9 @@
    (leetspeak), lets a run of one letter shrink to two or one, and lets symbols between
    letters stand for nothing. Viterbi finds the likeliest path under the
    language model and the channel's costs. Plain words are their own path.
+   Tokens of any length are decoded, as the cost is linear in it. In letters
+   spelt apart, by spaces or by separators, a gap may also stand for a space,
+   and one that is wider than the run's least gap always does.
 3. ``fit`` learns from labelled rows which words and word beginnings point to
    toxic texts: those held by so many more toxic than other texts that chance
    would give as many in one of 1 / ``CHANCE`` fits, all features tried. A
@@ -58,6 +61,9 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyz"
 #: Costs in nats: reading a sign as a letter, skipping a separator or another sign, shortening a run.
 SIGN_COST, SKIP_COST, LOSS_COST, RUN_COST = 0.5, 0.3, 6.0, 0.5
 
+#: By how much spaces in a run of letters spelt apart are favoured, one reading each.
+SPACE_GAINS = (0.0, 1.0, 2.0, 3.0)
+
 _N = len(ALPHABET) + 2  # letters, another letter, a word's edge
 _OTHER, _EDGE = _N - 2, _N - 1
 _CODE = {c: i for i, c in enumerate(ALPHABET)}
@@ -65,6 +71,10 @@ _RUNS = re.compile(r"(.)\1+")
 _WORD = re.compile(r"[^\W\d_]+")
 _SIGNS = "".join(re.escape(c) for c in LEET)
 _ODD = re.compile(rf"[{_SIGNS}]|([^\W\d_])\1\1|[^\W\d_][{re.escape(SEPARATORS)}]+[^\W\d_]")
+#: Marks in a run of letters spelt apart: what may be a space, and what is one.
+GAP, LIMIT = " ", "\n"
+_GAPS = re.compile("|".join(f"{re.escape(c)}+" for c in SEPARATORS if c not in LEET))
+_SPELT = re.compile(rf"(?<![^\W_])(?:[^\W_][{re.escape(SEPARATORS)}]+){{3}}")
 _APART = re.compile(rf"(?<![^\s])[^\W\d_{_SIGNS}]?[{_SIGNS}]?(?:[\s]+[^\W\d_]|[\s]+[{_SIGNS}]){{2,}}(?![^\s])")
 
 
@@ -113,12 +123,22 @@ class LanguageModel:
         return sum(self.cost[a][b][c] for a, b, c in zip(codes, codes[1:], codes[2:], strict=False)) / (len(word) + 1)
 
 
-def _lattice(token: str) -> list[list[tuple[str, float]]]:
-    """For each run of a character: the strings that it may stand for and their costs."""
+def _lattice(token: str, spaced: bool = False, gain: float = 0.0) -> list[list[tuple[str, float]]]:
+    """For each run of a character: the strings that it may stand for and their costs.
+
+    With ``spaced`` a gap may be a space: a separator, GAP or LIMIT. One that is wider than the least is nothing else.
+    """
     out = []
+    least = min((len(x) for x in _GAPS.findall(token)), default=0) if spaced else 0
     for run in re.finditer(r"(.)\1*", token, re.DOTALL):
         c, n = run[1], len(run[0])
         arcs: list[tuple[str, float]] = []
+        if c == GAP or c == LIMIT:
+            out.append([(" ", 0.0)] if c == LIMIT else [("", 0.0), (" ", -gain)] if spaced else [("", 0.0)])
+            continue
+        if spaced and c in SEPARATORS and c not in LEET:
+            out.append([(" ", SKIP_COST)] if n > least else [("", SKIP_COST), (" ", SKIP_COST - gain)])
+            continue
         if c.isalpha():
             arcs += [(c, 0.0)] if n == 1 else [(c * 2, RUN_COST * (n > 2)), (c, RUN_COST)]
         for letter in LEET.get(c, ""):
@@ -131,23 +151,25 @@ def _lattice(token: str) -> list[list[tuple[str, float]]]:
     return out
 
 
-def restore(token: str, model: LanguageModel) -> str:
-    """The likeliest word behind a token, by Viterbi over its lattice."""
+def restore(token: str, model: LanguageModel, spaced: bool = False, gain: float = 0.0) -> str:
+    """The likeliest word behind a token, by Viterbi over its lattice; words, if gaps may be spaces."""
     cost = model.cost
     best: dict[tuple[int, int], tuple[float, tuple]] = {(_EDGE, _EDGE): (0.0, ())}
-    for arcs in _lattice(token):
+    for arcs in _lattice(token, spaced, gain):
         now: dict[tuple[int, int], tuple[float, tuple]] = {}
         for (a, b), (so_far, path) in best.items():
             for letters, extra in arcs:
                 x, y, total = a, b, so_far + extra
+                if letters == " " and b == _EDGE:
+                    letters = ""  # a space already
                 for c in letters:
-                    z = _CODE.get(c, _OTHER)
+                    z = _EDGE if c == " " else _CODE.get(c, _OTHER)
                     total += cost[x][y][z]
                     x, y = y, z
                 if (x, y) not in now or total < now[x, y][0]:
                     now[x, y] = (total, (path, letters) if letters else path)
         best = now
-    path = min(((total + cost[a][b][_EDGE], path) for (a, b), (total, path) in best.items()), key=lambda x: x[0])[1]
+    path = min(((total + (cost[a][b][_EDGE] if b != _EDGE or not path else 0.0), path) for (a, b), (total, path) in best.items()), key=lambda x: x[0])[1]
     out = []
     while path:
         path, letters = path
@@ -155,8 +177,13 @@ def restore(token: str, model: LanguageModel) -> str:
     return "".join(reversed(out))
 
 
-#: Tokens longer than this are taken as they stand, letters only: no word is so long.
-LONGEST = 40
+def cut(token: str, model: LanguageModel) -> list[str]:
+    """The words of a run of letters, for each of SPACE_GAINS: letter trigrams alone do not tell every limit."""
+    return [w for gain in SPACE_GAINS for w in restore(token, model, True, gain).split()]
+
+
+#: Longer tokens are not kept, as they would fill the memory; they are decoded like others.
+KEPT_CHARS = 64
 
 
 class Restorer:
@@ -169,15 +196,34 @@ class Restorer:
         found = self.kept.get(token)
         if found is None:
             plain = tuple(_WORD.findall(token))
-            if len(token) <= LONGEST and _ODD.search(token):
-                word = restore(token.strip("\"'.,:;?()[]{}"), self.model)
-                found = tuple(x for x in dict.fromkeys([*plain, word, single(word)]) if x)
+            if _ODD.search(token):
+                bare = token.strip("\"'.,:;?()[]{}")
+                word = restore(bare, self.model)
+                apart = cut(bare, self.model) if _SPELT.search(bare) else ()
+                found = tuple(x for x in dict.fromkeys([*plain, word, single(word), *apart, *map(single, apart)]) if x)
             else:
                 found = plain
+            self._keep(token, found)
+        return found
+
+    def spelt(self, run: str) -> tuple[str, ...]:
+        """Words of letters that stand apart: each part between wider gaps as one word, and as cut into words."""
+        found = self.kept.get(run)
+        if found is None:
+            gaps = re.findall(r"\s+", run)
+            least = min(map(_width, gaps))
+            marked = re.sub(r"\s+", lambda m: LIMIT if _width(m[0]) > least else GAP, run)
+            whole = [restore(x, self.model) for x in marked.split(LIMIT)]
+            apart = cut(marked, self.model)
+            found = tuple(x for x in dict.fromkeys([*whole, *map(single, whole), *apart, *map(single, apart)]) if x)
+            self._keep(run, found)
+        return found
+
+    def _keep(self, token: str, found: tuple[str, ...]) -> None:
+        if len(token) <= KEPT_CHARS:
             if len(self.kept) >= self.most:
                 self.kept.clear()
             self.kept[token] = found
-        return found
 
     def words(self, text: str) -> set[str]:
         low = text.lower()
@@ -185,10 +231,14 @@ class Restorer:
         for token in set(low.split()):
             out.update(self.token(token))
         for spelt in _APART.finditer(low):  # letters spelt apart
-            out.update(self.token("-".join(spelt[0].split())))
+            out.update(self.spelt(spelt[0].strip()))
         return out
 
 
+def _width(gap: str) -> tuple[bool, int]:
+    return "\n" in gap, len(gap)
+
+
 def single(word: str) -> str:
     """A word without doubled letters."""
     return _RUNS.sub(r"\1", word)

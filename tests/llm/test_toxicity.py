@@ -36,6 +36,26 @@ def test_letters_spelt_apart(model):
     assert "stupid" in T.Restorer(model).words("S T U P I D")
 
 
+RUN = "y o u a r e a s t u p i d i d i o t y o u a r e a m o r o n"
+
+
+@pytest.mark.parametrize("text", [RUN, RUN.replace(" ", "."), RUN.replace(" ", "-"), RUN.replace("u p", "u  u u u u u  p").replace("  ", " ")])
+def test_long_spelt_runs_are_cut_into_words(model, text):
+    assert {"stupid", "idiot", "moron"} <= T.Restorer(model).words(text)
+
+
+@pytest.mark.parametrize("text", ["y o u  i d i o t", "y o u\ni d i o t", "y-o-u--i-d-i-o-t", "y  o  u   i  d  i  o  t"])
+def test_wider_gaps_are_word_limits(model, text):
+    assert {"you", "idiot"} <= T.Restorer(model).words(text)
+    assert T._lattice("a\nb")[1] == [(" ", 0.0)] and T._lattice("a--b-c", True)[1] == [(" ", T.SKIP_COST)]
+
+
+def test_no_length_is_too_long(model):
+    assert "stupid" in T.Restorer(model).words("st" + "u" * 5000 + "pid")
+    assert "stupid" in T.Restorer(model).words("s" + "-" * 5000 + "tupid")
+    assert len(T.restore("1d10t" * 20_000, model)) == 100_000
+
+
 def brute_restore(token, model):
     """The likeliest path by trying all."""
     paths = [((), 0.0)]
