@@ -2,7 +2,7 @@
 
 1. ``letter_counts`` counts letter trigrams over all documents, in lower case:
    a character language model, one row of sums a task and one sum at the end.
-2. A word that holds digits, symbols, repeated letters or letters spelt apart
+2. A word that holds digits, symbols, letters thrice or more in a row or letters spelt apart
    is restored: a lattice gives every character the letters it may stand for
    (leetspeak), lets a run of one letter shrink to two or one, and lets symbols between
    letters stand for nothing. Viterbi finds the likeliest path under the
@@ -14,7 +14,8 @@
    toxic texts: those held by so many more toxic than other texts that chance
    would give as many in one of 1 / ``CHANCE`` fits, all features tried. A
    feature's weight is its log-likelihood ratio, a text's evidence the sum of
-   its words' weights, each word by its best feature. Logistic regression turns
+   its words' weights, each word by its best feature, those that its letters
+   without doubling have included ('stuupid', 'iidiot'). Logistic regression turns
    evidence into a score; for it, each half of the rows has the evidence of
    the other half's features, so luck in their choice does not count.
    It fits on about ``SAMPLE`` labelled rows at most, chosen by a hash.
@@ -245,13 +246,23 @@ def single(word: str) -> str:
 
 
 def features(words: set[str]) -> set[str]:
-    """Words, words without their doubled letters (=), and beginnings (*)."""
+    """Words and beginnings (*); of those with doubled letters, also what is left without (=)."""
     out = {w for w in words if len(w) > 2}
-    out.update([f"={s}" for w in out if _RUNS.search(w) and len(s := single(w)) > 2])
+    singles = {s for w in out if _RUNS.search(w) and len(s := single(w)) > 2}
     out.update(f"{w[:n]}*" for w in words for n in PREFIXES if len(w) >= n)
+    out.update(f"={s}" for s in singles)
+    out.update(f"={s[:n]}*" for s in singles for n in PREFIXES if len(s) >= n)
     return out
 
 
+def looked_up(word: str) -> list[str]:
+    """The features that point to a word; with doubled letters, also those of its letters without (=* counts such words alone)."""
+    beginnings = lambda w, mark="": [f"{mark}{w[:n]}*" for n in PREFIXES if len(w) >= n]
+    out = [word, f"={word}", *beginnings(word)]
+    s = single(word)
+    return out if s == word else [*out, s, f"={s}", *beginnings(s), *beginnings(s, "=")]
+
+
 class ToxicityModel:
     """Features with their weights, and the regression from evidence to score."""
 
@@ -263,7 +274,7 @@ class ToxicityModel:
         found = self.met.get(word)
         if found is None:
             held = self.held
-            found = max(held.get(word, 0.0), held.get(f"={word}", 0.0), *(held.get(f"{word[:n]}*", 0.0) for n in PREFIXES if len(word) >= n), 0.0)
+            found = max(0.0, *(held.get(name, 0.0) for name in looked_up(word)))
             if len(self.met) >= MET_WORDS:
                 self.met.clear()
             self.met[word] = found

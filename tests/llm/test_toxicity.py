@@ -56,6 +56,17 @@ def test_no_length_is_too_long(model):
     assert len(T.restore("1d10t" * 20_000, model)) == 100_000
 
 
+def test_doubled_letters(spark, model):
+    texts = [*PLAIN, *["what an asshole"] * 30]
+    labelled = [(x, 1) for x in texts] + [(x, 0) for x in CLEAN]
+    learnt = T.fit(spark.createDataFrame(labelled, "text string, toxic int"), model)
+    read = T.Restorer(model).words
+    for text in ("iidiot", "stuupid", "mooron", "idioott", "aasshoole", "ashole", "stuupidest"):
+        assert learnt.score(read(text)) >= T.THRESHOLD, text
+    for text in ("letter", "noon", "a fine weather table"):
+        assert learnt.score(read(text)) < T.THRESHOLD, text
+
+
 def brute_restore(token, model):
     """The likeliest path by trying all."""
     paths = [((), 0.0)]
