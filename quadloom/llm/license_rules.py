@@ -90,11 +90,13 @@ CC_VERSIONS = ["1.0", "2.0", "2.5", "3.0", "4.0", ""]
 
 _GRANT = "(?:licensed|released|distributed|published|available|provided|offered|covered|redistribute)(?: (?:it|to you))?"
 _TERMS = "(?:the )?(?:terms (?:and conditions )?of )?(?:(?:the|an?) )?"
+#: What announces a name in the same line.
+HEADING = f"{_LICENSE}(?: is| type| name)? "
 #: Phrasings: what stands around a name, its priority and weight. The higher priority holds.
 PHRASINGS = [
     (f"spdx {_LICENSE} identifier {{name}}", 50, 1.0),
     (f"{_GRANT} under {_TERMS}{{name}}(?: {_LICENSE})?", 40, 0.95),
-    (f"{_LICENSE}(?: is| type| name)? {{name}}", 30, 0.85),
+    (f"{HEADING}{{name}}", 30, 0.85),
     (f"under {_TERMS}{{name}}", 20, 0.7),
     ("{name}", 10, 0.5),
 ]

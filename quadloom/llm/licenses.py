@@ -5,12 +5,14 @@ Three steps over each text, in one projection and without a shuffle:
 * base phrases: words are runs of digits, a-z (after lower-casing A-Z) and
   characters beyond ASCII; places where a phrase's words stand consecutively
   are counted over the whole text;
-* rules: each distinct line that any gate word occurs in is tried against the
-  rules whose keyword it holds (``license_rules``), which gives intervals;
+* rules: the words of each text that any gate word occurs in are tried against
+  the rules whose keyword they hold (``license_rules``), which gives intervals;
 * suppression: an interval inside another of higher priority goes; at equal
   priority the longer holds, then the earlier rule.
 
-A signature does not run over a line's end; a base phrase may.
+Signatures, as base phrases, may run over lines' ends. Between the word license
+and a name that follows it there must be none: a heading and the next line are
+two statements, each with its own rule.
 
 Defined results: null text is empty and has no words, labels or places; score
 is the largest weight of a detection that holds (0.4 for a base phrase), else
@@ -24,13 +26,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadloom.llm.license_rules import rules
+from quadloom.llm.license_rules import HEADING, rules
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BASE_PHRASES = [("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved")]
 BASE_WEIGHT = 0.4
-#: A line without any of these holds no rule's match.
+#: Words without any of these hold no rule's match.
 GATES = ["licen", "cc", "gpl", "commons", "copyright", "reserved", "public domain", "wtfpl", "apache", "bsd", "cecill", "mit", "proprietary", "redistribution", "permission"]
 
 ADDED = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
@@ -45,25 +47,37 @@ def _words(text: Column) -> Column:
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(text, _NOT_WORD, " ")), F.lit(" "))
 
 
+def _lines(text: Column) -> Column:
+    """As _words, but with a line feed where a line ends."""
+    marked = F.regexp_replace(F.regexp_replace(text, _NOT_WORD.replace(r"\x00-\x2F", r"\x00-\x09\x0B-\x2F"), " "), r" ?\n[ \n]*", "\n")
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(marked, r"^[ \n]+|[ \n]+$", "")), F.lit(" "))
+
+
+def _in_lines(pattern: str) -> str:
+    """A pattern for _lines; the words of HEADING stay in one line."""
+    return HEADING + pattern.removeprefix(HEADING).replace(" ", "[ \\n]")
+
+
 def _spaces(x: Column) -> Column:
     return F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit("")))
 
 
 def _rule_hits() -> str:
-    """SQL: the surviving (label, weight) of a line's words ``s``."""
+    """SQL: the surviving (label, weight) of a text's words ``z``: joined (s), and with line ends (t)."""
     by_keyword: dict[str, list[str]] = {}
     for i, r in enumerate(rules()):
-        pattern = f"(?<= )(?:{r.pattern})(?= )"
-        by_keyword.setdefault(r.keyword, []).append(f"named_struct('pat', {_quoted(pattern)}, 'label', {_quoted(r.label)}, 'p', {r.priority}, 'w', {r.weight}D, 'i', {i})")
+        lines = r.pattern.startswith(HEADING)
+        pattern = rf"(?<=[ \n])(?:{_in_lines(r.pattern)})(?=[ \n])" if lines else f"(?<= )(?:{r.pattern})(?= )"
+        by_keyword.setdefault(r.keyword, []).append(f"named_struct('pat', {_quoted(pattern)}, 'lines', {str(lines).lower()}, 'label', {_quoted(r.label)}, 'p', {r.priority}, 'w', {r.weight}D, 'i', {i})")
     keywords = f"array({', '.join(_quoted(k) for k in by_keyword)})"
     table = "map(" + ", ".join(f"{_quoted(k)}, array({', '.join(v)})" for k, v in by_keyword.items()) + ")"
-    tried = f"flatten(transform(filter({keywords}, k -> contains(s, k)), k -> element_at({table}, k)))"
+    tried = f"flatten(transform(filter({keywords}, k -> contains(z.s, k)), k -> element_at({table}, k)))"
     spans = """aggregate(
-        transform(regexp_extract_all(s, r.pat, 0), (x, i) -> named_struct('gap', length(split(s, r.pat)[i]), 'len', length(x))),
+        zip_with(split(if(r.lines, z.t, z.s), r.pat), regexp_extract_all(if(r.lines, z.t, z.s), r.pat, 0), (g, x) -> named_struct('gap', length(g), 'len', length(x))),
         named_struct('pos', 0, 'out', cast(array() as array<struct<a: int, b: int>>)),
-        (acc, y) -> named_struct('pos', acc.pos + y.gap + y.len, 'out', concat(acc.out, array(named_struct('a', acc.pos + y.gap, 'b', acc.pos + y.gap + y.len)))),
+        (acc, y) -> if(y.len is null, acc, named_struct('pos', acc.pos + y.gap + y.len, 'out', concat(acc.out, array(named_struct('a', acc.pos + y.gap, 'b', acc.pos + y.gap + y.len))))),
         acc -> acc.out)"""
-    hits = f"flatten(transform(filter({tried}, r -> s rlike r.pat), r -> transform({spans}, z -> named_struct('a', z.a, 'b', z.b, 'label', r.label, 'p', r.p, 'w', r.w, 'i', r.i))))"
+    hits = f"flatten(transform(filter({tried}, r -> if(r.lines, z.t, z.s) rlike r.pat), r -> transform({spans}, y -> named_struct('a', y.a, 'b', y.b, 'label', r.label, 'p', r.p, 'w', r.w, 'i', r.i))))"
     beats = "g.a <= h.a and g.b >= h.b and (g.p > h.p or g.p = h.p and (g.b - g.a > h.b - h.a or g.b - g.a = h.b - h.a and g.i < h.i))"
     kept = f"transform(array({hits}), hs -> filter(hs, h -> not exists(hs, g -> {beats})))[0]"
     return f"transform({kept}, h -> named_struct('label', h.label, 'w', h.w))"
@@ -90,11 +104,9 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
             ),
         )
         places.append(found)
-    gated = reduce(lambda a, b: a | b, [F.contains(F.col("__low"), F.lit(g)) for g in GATES])
-    gate = " or ".join(f"contains(l, {_quoted(g)})" for g in GATES)
-    lines = f"transform(filter(array_distinct(split(__low, '\\n')), l -> {gate}), l -> concat(' ', trim(regexp_replace(l, {_quoted(_NOT_WORD)}, ' ')), ' '))"
-    rows = rows.select(*names, n_words.cast("long").alias("n_words"), F.array_compact(F.array(*places)).alias("__base"), F.when(gated, F.expr(lines)).alias("__lines"))
-    hits = F.when(F.size("__lines") > 0, F.expr(f"flatten(transform(__lines, s -> {_rule_hits()}))"))
+    gated = reduce(lambda a, b: a | b, [F.contains(words, F.lit(g)) for g in GATES])
+    rows = rows.select(*names, n_words.cast("long").alias("n_words"), F.array_compact(F.array(*places)).alias("__base"), F.when(gated, F.array(F.struct(words.alias("s"), _lines(F.col("__low")).alias("t")))).alias("__gated"))
+    hits = F.when(F.size("__gated") > 0, F.expr(f"flatten(transform(__gated, z -> {_rule_hits()}))"))
     rows = rows.withColumn("__hits", F.coalesce(hits, F.expr("cast(array() as array<struct<label: string, w: double>>)")))
     base = F.col("__base")
     total = F.aggregate(base, F.lit(0).cast("long"), lambda acc, x: acc + x["n"])

@@ -61,3 +61,20 @@ def test_plan_is_native(spark):
     assert "Exchange" not in plan and "Python" not in plan and "Arrow" not in plan
     assert len(rules()) > 300
     assert L.scan_licenses(frame.limit(0)).collect() == []
+
+
+WRAPPED = [
+    ("Licensed under the Apache License,\nVersion 2.0", {"apache-2.0"}),
+    ("the terms of the GNU General\nPublic License, version 3", {"gpl-3.0", "gpl"}),
+    ("# Permission is hereby granted, free\n# of charge", {"mit-text"}),
+    ("This is Public-Domain now", {"public-domain"}),
+    ("in the public  domain", {"public-domain"}),
+    ("MIT\nlicense and\nthe\nBSD 3-\nClause License", {"mit", "bsd-3-clause"}),
+    ("word " * 20_000 + "released under\nthe MIT License. " * 300, {"mit"}),
+]
+
+
+def test_signatures_run_over_lines(spark):
+    frame = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(WRAPPED)], "doc_id long, text string")
+    for r in L.scan_licenses(frame).collect():
+        assert set(r.labels.split(",")) == WRAPPED[r.doc_id][1], WRAPPED[r.doc_id][0][-60:]
