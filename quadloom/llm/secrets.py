@@ -2,12 +2,14 @@
 
 Base spans are matches of three patterns. The method adds spans: a candidate
 is a string of ``MIN_CHARS`` or more letters, digits and ``+/_=-`` in a
-sensitive context, a word such as key, credential or bearer shortly before it.
+sensitive context: a word such as key, credential or bearer begins within
+``REACH`` characters before it, or the candidate is in a key block that such a word begins.
 Its novelty is the number of bytes that it adds to a zstandard frame of the
 text around it, primed with a dictionary of identifiers and code: what
 ordinary names or near text explain adds little, a random string adds nearly
-its entropy. Words of letters in one case are no candidates. Candidates whose added bits a character reach
-``MIN_BITS`` are reported as ``novel``, unless a base span overlaps them.
+its entropy. Candidates whose added bits a character reach ``MIN_BITS``, or
+``ONE_CASE_BITS`` if they are letters of one case, as words are, are reported
+as ``novel``, unless a base span overlaps them.
 
 Places are code points, ends exclusive. Defined results: null text is empty;
 rows are judged one by one and other columns are kept.
@@ -35,12 +37,13 @@ _HEX = re.compile("[0-9a-f]{24,}")
 ASSIGN_CHARS, ACCESS_CHARS = 6, 20
 
 #: Words that make what follows sensitive, and how far they reach.
-_CONTEXT = re.compile(r"(?:key|credential|passphrase|passcode|bearer|auth|signature|private|secret|token|password|pwd)[A-Za-z_]*\W{0,12}$", re.IGNORECASE | re.ASCII)
 _CONTEXT_WORDS = ("key", "credential", "passphrase", "passcode", "bearer", "auth", "signature", "private", "secret", "token", "password", "pwd")
+_CONTEXT = re.compile("|".join(_CONTEXT_WORDS), re.IGNORECASE | re.ASCII)
+_BLOCK = re.compile(r"-----BEGIN [A-Z0-9 ]*(?:PRIVATE|SECRET|KEY)[A-Z0-9 ]*-----.*?(?:-----END|\Z)", re.DOTALL)
 _MIXED = re.compile("[0-9]|[a-z][A-Z]|[A-Z][A-Z][a-z]")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 MIN_CHARS, REACH, AROUND = 16, 40, 256
-MIN_BITS = 3.2
+MIN_BITS, ONE_CASE_BITS = 3.2, 7.5
 
 #: Identifiers and code that prime the compressor. Fixed values.
 IDENTIFIERS = """
@@ -55,6 +58,11 @@ message exception error warning debug info logger handler controller service rep
 implementation abstract override virtual template namespace include define struct union typedef unsigned double float boolean integer
 string number object array list dictionary mapping iterator generator primary_key foreign_key keyboard key_value keyword author authority
 authentication authorization signature_algorithm private_method password_reset_token token_count tokenizer tokenization secretary
+internationalization characteristically telecommunications counterrevolutionary electroencephalogram disproportionately
+institutionalization responsibilities enthusiastically incomprehensibility straightforwardness multidimensional establishment
+misunderstandings acknowledgements representatives commercialization environmentally unconditionally psychological physiologically
+philosophical mathematically circumstances transformation consideration recommendations approximately extraordinarily simultaneously
+manufacturing administrative interdisciplinary notwithstanding experimentation superintendent microorganisms photosynthesis
 """
 
 
@@ -88,14 +96,17 @@ def novel_spans(text: str, base: list[tuple[int, int, str]], novelty: Novelty) -
     low = text.lower()
     if not any(w in low for w in _CONTEXT_WORDS):
         return []
+    blocks = [m.span() for m in _BLOCK.finditer(text)] if "-----BEGIN" in text else []
     out, at = [], 0
     for m in _CANDIDATE.finditer(text):
         a, b = m.span()
         while at < len(base) and base[at][1] <= a and all(x[1] <= a for x in base[: at + 1][-3:]):
             at += 1
-        if not _MIXED.search(m[0]) or any(x < b and a < y for x, y, _ in base[max(0, at - 3) : at + 64]) or not _CONTEXT.search(text, max(0, a - REACH), a):
+        if any(x < b and a < y for x, y, _ in base[max(0, at - 3) : at + 64]):
             continue
-        if novelty.bits(text[max(0, a - AROUND) : a], m[0], text[b : b + AROUND]) >= MIN_BITS:
+        if not _CONTEXT.search(text, max(0, a - REACH), a) and not any(x <= a < y for x, y in blocks):
+            continue
+        if novelty.bits(text[max(0, a - AROUND) : a], m[0], text[b : b + AROUND]) >= (MIN_BITS if _MIXED.search(m[0]) else ONE_CASE_BITS):
             out.append((a, b, "novel"))
     return out
 
