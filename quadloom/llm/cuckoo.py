@@ -108,39 +108,45 @@ class CuckooFilter:
         return hashes[missing]
 
 
-class FilterStack:
-    """A shard's filter: when one table is full the next, twice as large, takes what is left."""
+class ShardFilter:
+    """A shard's filter: one table, and exact hashes of what the table has no room for.
 
-    def __init__(self, filters: list[CuckooFilter] | None = None, planned: int = 1):
-        """planned: the number of hashes that a first table is made for."""
-        self.filters, self.planned = filters or [], planned
+    One table alone makes deletes safe: a hash's fingerprint lies in the table or
+    the hash lies in the list, so taking it out never takes another hash's place.
+    Who keeps the hashes makes a larger filter before the list grows long.
+    """
+
+    def __init__(self, planned: int = 1, table: CuckooFilter | None = None, listed: np.ndarray | None = None):
+        """planned: the number of hashes that the table is made for."""
+        self.table = table or CuckooFilter(planned)
+        self.listed = np.zeros(0, np.int64) if listed is None else listed  # ascending
+
+    def _in_list(self, hashes: np.ndarray) -> np.ndarray:
+        return np.isin(hashes, self.listed) if len(self.listed) else np.zeros(len(hashes), bool)
 
     def contains(self, hashes: np.ndarray) -> np.ndarray:
-        found = np.zeros(len(hashes), bool)
-        for f in self.filters:
-            found |= f.contains(hashes)
-        return found
+        return self.table.contains(hashes) | self._in_list(hashes)
 
     def insert(self, hashes: np.ndarray) -> None:
-        left = self.filters[-1].insert(hashes) if self.filters else hashes
-        while len(left):
-            self.filters.append(CuckooFilter(max(len(left), 2 * self.filters[-1].table.size if self.filters else self.planned)))
-            left = self.filters[-1].insert(left)
+        left = self.table.insert(hashes)
+        if len(left):
+            self.listed = np.sort(np.concatenate([self.listed, left]))
 
     def delete(self, hashes: np.ndarray) -> None:
-        for f in self.filters:
-            hashes = f.delete(hashes)
+        listed = self._in_list(hashes)
+        if listed.any():
+            self.listed = np.delete(self.listed, np.searchsorted(self.listed, hashes[listed]))
+        self.table.delete(hashes[~listed])
+
+    @property
+    def used(self) -> int:
+        return self.table.used + len(self.listed)
 
     def to_bytes(self) -> bytes:
-        sizes = np.array([len(self.filters), *(len(f.table) for f in self.filters)], np.int64)
-        return sizes.tobytes() + b"".join(f.table.tobytes() for f in self.filters)
+        return np.array([len(self.table.table), len(self.listed)], np.int64).tobytes() + self.table.table.tobytes() + self.listed.tobytes()
 
     @classmethod
-    def from_bytes(cls, raw: bytes) -> FilterStack:
-        n = int(np.frombuffer(raw, np.int64, 1)[0])
-        out, at = [], 8 * (1 + n)
-        for rows in np.frombuffer(raw, np.int64, n, 8):
-            table = np.frombuffer(raw, np.uint16, int(rows) * SLOTS, at).reshape(-1, SLOTS).copy()
-            out.append(CuckooFilter(0, table))
-            at += table.nbytes
-        return cls(out)
+    def from_bytes(cls, raw: bytes) -> ShardFilter:
+        rows, listed = (int(x) for x in np.frombuffer(raw, np.int64, 2))
+        table = np.frombuffer(raw, np.uint16, rows * SLOTS, 16).reshape(-1, SLOTS).copy()
+        return cls(0, CuckooFilter(0, table), np.frombuffer(raw, np.int64, listed, 16 + table.nbytes).copy())

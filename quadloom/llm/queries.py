@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadloom.llm import ann, licenses, line_dedup, mixing, near_dup, pieces, quality, secrets, token_counts, toxicity
-from quadloom.llm.workspace import new_path
+from quadloom.llm.workspace import materialize, new_path
 
 #: Names of vocabulary files; each executor looks up where its own copy lies.
 PIECE_MODEL, RANKS = "piece_bpe_32k.model", "byte_bpe_50k.tiktoken"
@@ -42,7 +42,8 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(4)) == 2
     labels = _table(spark, sf_dir, "labels").where(~held_out).select("doc_id", "toxic")
     model = toxicity.LanguageModel(toxicity.letter_counts(docs))
-    learnt = toxicity.fit(docs.join(labels, "doc_id").select("text", "toxic"), model)
+    sample = F.broadcast(materialize(toxicity.sample_labels(labels), "labels"))  # toxicity.SAMPLE rows at most
+    learnt = toxicity.fit(docs.join(sample, "doc_id").select("text", "toxic"), model)
     scored = toxicity.score(docs, model, learnt)
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 

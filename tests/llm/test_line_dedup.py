@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quadloom.llm import line_dedup as L
-from quadloom.llm.cuckoo import CuckooFilter, FilterStack
+from quadloom.llm.cuckoo import CuckooFilter, ShardFilter
 
 from . import brute
 
@@ -38,6 +38,17 @@ def state(index):
     return sorted((r.k1, r.k2, r.refs, r.keeper) for r in index.refs.collect())
 
 
+def check_filters(index):
+    """Each key in its shard's filter, common ones in that of common keys, and nothing else in either."""
+    held = {r.shard: (ShardFilter.from_bytes(r.known), ShardFilter.from_bytes(r.common)) for r in index.filters.collect()}
+    keys = index.refs.collect()
+    for r in keys:
+        known, common = held[r.k2 % index.n_shards]
+        assert known.contains(np.array([r.k1])).all() and (r.refs < index.min_docs or common.contains(np.array([r.k1])).all())
+    assert sum(known.used for known, _ in held.values()) == len(keys) == index.n_keys
+    assert sum(common.used for _, common in held.values()) == sum(r.refs >= index.min_docs for r in keys)
+
+
 def test_delete_takes_back_an_insert(spark):
     first, second = frame(spark, rows()[:10]), frame(spark, rows()[8:])
     one = L.LineIndex.empty(spark, n_shards=3).insert(first)
@@ -46,10 +57,7 @@ def test_delete_takes_back_an_insert(spark):
     assert state(two.insert(second)) == state(two)
     gone = two.delete(second.select("doc_id").subtract(first.select("doc_id")))
     assert state(gone) == state(one)
-    held = {r.shard: FilterStack.from_bytes(r.blob) for r in gone.filters.collect()}
-    for r in gone.refs.collect():
-        assert held[r.shard].contains(np.array([r.k1])).all()
-    assert sum(f.used for s in held.values() for f in s.filters) == len(state(one))
+    check_filters(gone)
     assert state(gone.insert(second)) == state(two)
 
 
@@ -58,17 +66,53 @@ def test_unknown_deletes_change_nothing(spark):
     assert state(one.delete(spark.createDataFrame([(999,), (None,)], "doc_id long"))) == state(one)
 
 
+def test_many_changes(spark, monkeypatch):
+    """Logs are merged and shards split on the way; what holds is as if only the documents left had ever come."""
+    monkeypatch.setattr(L, "LEVELS", 3)
+    monkeypatch.setattr(L, "SHARD_KEYS", 8)
+    text = lambda i: "\n".join([f"line {i} of its own, which is long enough to be a key", COMMON, f"line {i % 5} that some documents share, long enough"])
+    docs = lambda ids: spark.createDataFrame([(i, text(i)) for i in ids], "doc_id long, text string")
+    index = L.LineIndex.empty(spark).insert(docs(range(3)))
+    for step in range(1, 4):
+        index = index.insert(docs(range(step * 6 - 3, step * 12))).delete(docs(range(step * 2, step * 9)).select("doc_id"))
+    left = sorted(r.doc_id for r in index.postings.select("doc_id").distinct().collect())
+    assert state(index) == state(L.LineIndex.empty(spark).insert(docs(left)))
+    assert index.n_shards > 4 and len(index.counted) <= 4
+    check_filters(index)
+    got = sorted((r.doc_id, r.text) for r in index.apply(docs(left)).collect())
+    assert got == sorted((d, t) for d, _, _, t in brute.line_dedup([(i, text(i)) for i in left]))
+
+
+def test_hot_shards_are_probed_in_copies(spark, monkeypatch):
+    monkeypatch.setattr(L, "COPY_ROWS", 3)
+    data = [(i, f"{COMMON}\n{COMMON} too {i % 7}") for i in range(60)]
+    got = sorted((r.doc_id, r.text) for r in L.dedup_lines(spark.createDataFrame(data, "doc_id long, text string")).collect())
+    assert got == sorted((d, t) for d, _, _, t in brute.line_dedup(data))
+
+
 @pytest.mark.parametrize("n", [1, 7, 5000])
 def test_filter_holds_what_it_was_given(n):
     hashes = np.random.default_rng(n).integers(-(2**63), 2**63 - 1, n)
-    stack = FilterStack(planned=3)
+    held = ShardFilter(planned=n // 2 + 1)
     for part in np.array_split(hashes, 4):
-        stack.insert(part)
-    again = FilterStack.from_bytes(stack.to_bytes())
+        held.insert(part)
+    again = ShardFilter.from_bytes(held.to_bytes())
     assert again.contains(hashes).all()
     again.delete(hashes[: n // 2])
     assert again.contains(hashes[n // 2 :]).all()
-    assert sum(f.used for f in again.filters) == n - n // 2
+    assert again.used == n - n // 2
+
+
+def test_deletes_hide_no_other_key():
+    hashes = np.random.default_rng(0).integers(-(2**63), 2**63 - 1, 200_000)
+    held = ShardFilter(planned=120_000)  # the rest is listed
+    for part in np.array_split(hashes, 40):
+        held.insert(part)
+    for part in np.array_split(hashes[::2], 10):
+        held.delete(part)
+    assert held.contains(hashes[1::2]).all() and held.used == 100_000
+    held.insert(hashes[::2])
+    assert held.contains(hashes).all() and held.used == 200_000
 
 
 def test_a_full_filter_is_left_as_it_was():
