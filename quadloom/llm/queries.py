@@ -81,15 +81,35 @@ def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after four commits: all documents, those revised that repeat a line, copies deleted, and the first again."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
     import public_tokenizers
 
     counters = {"piece_bpe_32k": token_counts.piece_counter(tokenizer_file(PIECE_MODEL)), "byte_bpe_50k": token_counts.rank_counter(tokenizer_file(RANKS), public_tokenizers.PATTERN)}
     ledger = token_counts.TokenLedger(spark, new_path(spark, "ledger"), counters)
     ledger.commit("documents", docs)
+    ledger.commit("revisions", revisions(docs))
+    ledger.commit("copies", copies(docs))
+    ledger.commit("documents", docs)  # a replay
     return ledger.totals()
 
 
+def revisions(docs: DataFrame) -> DataFrame:
+    """Documents that repeat a line, without its repetitions."""
+    once = F.array_join(F.array_distinct(F.split("text", "\n")), "\n")
+    return docs.withColumn("once", once).where("once <> text").select("doc_id", F.col("once").alias("text"), "source", "lang", F.lit("revise").alias("op"))
+
+
+def copies(docs: DataFrame) -> DataFrame:
+    """Deletes of documents whose text a smaller doc_id has."""
+    rows = docs.where("doc_id is not null and text is not null").select("doc_id", F.md5("text").alias("mark"))
+    # the first by mark is an aggregate, so a text of many copies is summed up before it is shuffled
+    firsts = rows.groupBy("mark").agg(F.min("doc_id").alias("doc_id"))
+    later = rows.join(firsts, ["mark", "doc_id"], "left_anti").select("doc_id").distinct()
+    null = F.lit(None).cast("string")
+    return later.select("doc_id", null.alias("text"), null.alias("source"), null.alias("lang"), F.lit("delete").alias("op"))
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return mixed.select("doc_id", "source", "n_tokens", "copies")

@@ -5,11 +5,13 @@ is a string of ``MIN_CHARS`` or more letters, digits and ``+/_=-`` in a
 sensitive context: a word such as key, credential or bearer begins within
 ``REACH`` characters before it, or the candidate is in a key block that such a word begins.
 Its novelty is the number of bytes that it adds to a zstandard frame of the
-text around it, primed with a dictionary of identifiers and code: what
-ordinary names or near text explain adds little, a random string adds nearly
-its entropy. Candidates whose added bits a character reach ``MIN_BITS``, or
-``ONE_CASE_BITS`` if they are letters of one case, as words are, are reported
-as ``novel``, unless a base span overlaps them.
+text around it, primed with dictionaries: code, the language's own identifiers
+and words. What ordinary names or near text explain adds little, a random string adds nearly
+its entropy. Candidates whose added bits a character reach ``MIN_BITS`` are reported
+as ``novel``, unless a base span overlaps them. Letters of one case, as words are, need
+``ONE_CASE_BITS`` and ``ONE_CASE_CHARS`` characters. In shorter strings a frame tells
+a random one from a new name by little; they need ``SHORT_BITS``, and digits, small
+and capital letters that change places at half of their characters or more.
 
 Places are code points, ends exclusive. Defined results: null text is empty;
 rows are judged one by one and other columns are kept.
@@ -17,7 +19,11 @@ rows are judged one by one and other columns are kept.
 
 from __future__ import annotations
 
+import bisect
+import builtins
+import keyword
 import re
+import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -41,9 +47,9 @@ _CONTEXT_WORDS = ("key", "credential", "passphrase", "passcode", "bearer", "auth
 _CONTEXT = re.compile("|".join(_CONTEXT_WORDS), re.IGNORECASE | re.ASCII)
 _BLOCK = re.compile(r"-----BEGIN [A-Z0-9 ]*(?:PRIVATE|SECRET|KEY)[A-Z0-9 ]*-----.*?(?:-----END|\Z)", re.DOTALL)
 _MIXED = re.compile("[0-9]|[a-z][A-Z]|[A-Z][A-Z][a-z]")
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-MIN_CHARS, REACH, AROUND = 16, 40, 256
-MIN_BITS, ONE_CASE_BITS = 3.2, 7.5
+_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{12,}")  # MIN_CHARS
+MIN_CHARS, ONE_CASE_CHARS, REACH, AROUND = 12, 16, 40, 256
+MIN_BITS, ONE_CASE_BITS, SHORT_BITS = 3.2, 7.5, 7.2
 
 #: Identifiers and code that prime the compressor. Fixed values.
 IDENTIFIERS = """
@@ -66,13 +72,20 @@ manufacturing administrative interdisciplinary notwithstanding experimentation s
 """
 
 
+def identifiers() -> str:
+    """Names that the language defines: key words, built-in functions and their methods, modules."""
+    names = {*keyword.kwlist, *dir(builtins), *(m for kind in (str, bytes, dict, list, set, int, float) for m in dir(kind)), *sys.stdlib_module_names}
+    return " ".join(sorted(names))
+
+
 class Novelty:
     """Marginal compressed bytes under a primed compressor."""
 
     def __init__(self):
         import zstandard
 
-        primer = zstandard.ZstdCompressionDict(IDENTIFIERS.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        primer = zstandard.ZstdCompressionDict(f"{identifiers()}\n{IDENTIFIERS}".encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        primer.precompute_compress(level=9)
         self.pack = zstandard.ZstdCompressor(level=9, dict_data=primer, write_content_size=False).compress
 
     def bits(self, before: str, candidate: str, after: str) -> float:
@@ -92,21 +105,48 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
+def _merged(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of what spans (by start) cover: apart and ascending."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for a, b in spans:
+        if starts and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
+def _meets(covered: tuple[list[int], list[int]], a: int, b: int) -> bool:
+    starts, ends = covered
+    i = bisect.bisect_right(ends, a)  # the first that ends behind a
+    return i < len(starts) and starts[i] < b
+
+
+def needed_bits(candidate: str) -> float:
+    """The novelty that makes a candidate a secret; no novelty makes short letters of one case one."""
+    if not _MIXED.search(candidate):
+        return ONE_CASE_BITS if len(candidate) >= ONE_CASE_CHARS else float("inf")
+    if len(candidate) >= ONE_CASE_CHARS:
+        return MIN_BITS
+    kinds = ["d" if c.isdigit() else "u" if c.isupper() else c if not c.isalpha() else "l" for c in candidate]
+    changes = sum(x != y for x, y in zip(kinds, kinds[1:], strict=False))
+    return SHORT_BITS if 2 * changes >= len(candidate) else float("inf")
+
+
 def novel_spans(text: str, base: list[tuple[int, int, str]], novelty: Novelty) -> list[tuple[int, int, str]]:
     low = text.lower()
     if not any(w in low for w in _CONTEXT_WORDS):
         return []
-    blocks = [m.span() for m in _BLOCK.finditer(text)] if "-----BEGIN" in text else []
-    out, at = [], 0
+    known = _merged([(a, b) for a, b, _ in base])
+    blocks = _merged([m.span() for m in _BLOCK.finditer(text)] if "-----BEGIN" in text else [])
+    out = []
     for m in _CANDIDATE.finditer(text):
         a, b = m.span()
-        while at < len(base) and base[at][1] <= a and all(x[1] <= a for x in base[: at + 1][-3:]):
-            at += 1
-        if any(x < b and a < y for x, y, _ in base[max(0, at - 3) : at + 64]):
-            continue
-        if not _CONTEXT.search(text, max(0, a - REACH), a) and not any(x <= a < y for x, y in blocks):
+        if _meets(known, a, b) or not (_CONTEXT.search(text, max(0, a - REACH), a) or _meets(blocks, a, a + 1)):
             continue
-        if novelty.bits(text[max(0, a - AROUND) : a], m[0], text[b : b + AROUND]) >= (MIN_BITS if _MIXED.search(m[0]) else ONE_CASE_BITS):
+        if (needed := needed_bits(m[0])) < float("inf") and novelty.bits(text[max(0, a - AROUND) : a], m[0], text[b : b + AROUND]) >= needed:
             out.append((a, b, "novel"))
     return out
 

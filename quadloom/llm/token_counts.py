@@ -1,44 +1,57 @@
 """Token counts: rollups that signed deltas keep up to date.
 
-A ledger is a folder of parquet files. Each batch of events (insert, revise,
-delete) is committed under its own id:
-
-* ``docs/<batch>``: signed rows (doc_id, tokenizer, source, lang, n_tokens, n_chars, sign);
-* ``deltas/<batch>``: their sums by source, lang and tokenizer version;
-* ``commits/<batch>``: an empty marker, made last.
-
-A batch without a marker does not count, and running it again overwrites what
-it left; a batch with one is not run again. So replays change nothing. Totals
-add up ``deltas`` alone. A delete or revision subtracts the very counts that
-the document's own rows in ``docs`` hold, whatever tokenizer is in use now.
+A ledger is a folder. Each batch of events (insert, revise, delete) is
+committed once under its own id:
+
+* ``docs/<attempt>/bucket=<b>``: signed rows (doc_id, tokenizer, source, lang,
+  n_tokens, n_chars, sign) by a hash of doc_id;
+* ``deltas/<attempt>``: their sums by source, lang and tokenizer version;
+* ``log/<number>``: a small file that names batch and attempt. It is made last
+  and only if no other commit made it first; one that comes second is computed
+  anew upon what the first left. What no log entry names does not count.
+
+So replays change nothing, a run that broke off leaves nothing that counts, and
+two writers never mix. Totals add up ``deltas`` alone. A delete or revision
+subtracts the very counts that the document's own rows in ``docs`` hold,
+whatever tokenizer is in use now; to find them, the rows of its buckets are
+joined before they are summed up. After ``MERGE_AFTER`` batches a log entry
+merges them: rows that cancel out go, and later commits read one part.
 
 Defined results: null text counts nothing but its document; null source and
-lang are groups of their own; a null doc_id is no document and is left out; of
-events of one batch that repeat a doc_id, the one of the largest ``seq`` (then
-of the largest counts) holds; deleting an unknown document changes nothing;
-empty tables commit an empty batch.
+lang are groups of their own; a null doc_id is no document and is left out; a
+null op is an insert, and an insert of a known document revises it; an event of
+another op changes nothing. Of events of one batch that repeat a doc_id, the
+one of the largest ``seq`` holds (a null one is the least), then of the largest
+counts, then of the largest op, source and lang. Deleting an unknown document
+changes nothing; empty tables commit an empty batch; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
+import json
+import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from quadloom.llm.pieces import slices
-from quadloom.llm.workspace import mapped
+from quadloom.llm.workspace import mapped, materialize
 
 #: Counts the tokens of each text of a list; made once for each worker.
 Counter = Callable[[list[str]], "np.ndarray"]
 
 KEYS = ["source", "lang", "tokenizer"]
-_DOC = "doc_id long, tokenizer string, source string, lang string, n_tokens long, n_chars long, sign int, batch string"
+_DOC = "doc_id long, tokenizer string, source string, lang string, n_tokens long, n_chars long, sign int, bucket int"
 _DELTA = "source string, lang string, tokenizer string, n_docs long, n_tokens long, n_chars long"
+_SUMS = ("n_docs", "n_tokens", "n_chars")
+#: Parts of a batch's rows by doc_id, and batches after which a commit merges them.
+BUCKETS, MERGE_AFTER = 16, 16
 
 
 def piece_counter(model_path: Callable[[], str]) -> Callable[[], Counter]:
@@ -91,61 +104,118 @@ def count_tokens(docs: DataFrame, tokenizers: dict[str, Callable[[], Counter]],
     return mapped(rows, run, StructType([*rows.schema.fields[:-1], *(StructField(c, LongType()) for c in added)]))
 
 
+def _batches(log: list[dict]) -> list[str]:
+    return [b for entry in log for b in (entry["merged"] if "merged" in entry else [entry["batch"]])]
+
+
 class TokenLedger:
     """The rollup kept in a folder."""
 
-    def __init__(self, spark: SparkSession, path: str, tokenizers: dict[str, Callable[[], Counter]]):
-        self.spark, self.path, self.tokenizers = spark, path.rstrip("/"), tokenizers
+    def __init__(self, spark: SparkSession, path: str, tokenizers: dict[str, Callable[[], Counter]], buckets: int = BUCKETS):
+        """buckets: parts of a batch's rows; a folder keeps the number that it began with."""
+        self.spark, self.path, self.tokenizers, self.buckets = spark, path.rstrip("/"), tokenizers, buckets
 
     def _fs(self, path: str):
         jvm = self.spark.sparkContext._jvm
         where = jvm.org.apache.hadoop.fs.Path(path)
         return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), where
 
-    def committed(self) -> list[str]:
-        """The names of the batches that count."""
-        fs, where = self._fs(f"{self.path}/commits")
-        return sorted(x.getPath().getName() for x in fs.listStatus(where)) if fs.exists(where) else []
-
-    def _read(self, kind: str, schema: str) -> DataFrame:
-        paths = [f"{self.path}/{kind}/{b}" for b in self.committed()]
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+    def _log(self) -> list[dict]:
+        """The entries that count: the last merge, if there is one, and what came after it."""
+        fs, where = self._fs(f"{self.path}/log")
+        names = sorted(x.getPath().getName() for x in fs.listStatus(where)) if fs.exists(where) else []
+        out: list[dict] = []
+        for name in reversed(names):
+            with_file = fs.open(self._fs(f"{self.path}/log/{name}")[1])
+            entry = json.loads(bytes(with_file.readAllBytes()).decode()) | {"number": int(name)}
+            with_file.close()
+            out.insert(0, entry)
+            if "merged" in entry:
+                break
+        return out
+
+    def _append(self, number: int, entry: dict) -> bool:
+        """Make the log's next file; False if another commit made it first."""
+        fs, where = self._fs(f"{self.path}/log/{number:012d}")
+        try:
+            out = fs.create(where, False)
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" in str(e.java_exception.getClass().getName()) or fs.exists(where):
+                return False
+            raise
+        out.write(bytearray(json.dumps(entry).encode()))
+        out.close()
+        return True
 
-    def documents(self) -> DataFrame:
-        """What counts now: (doc_id, tokenizer, source, lang, n_tokens, n_chars)."""
-        rows = self._read("docs", _DOC)
+    def committed(self) -> list[str]:
+        """The ids of the batches that count."""
+        return _batches(self._log())
+
+    def _read(self, kind: str, schema: str, log: list[dict]) -> DataFrame:
+        paths = [f"{self.path}/{kind}/{entry['attempt']}" for entry in log]
+        rows = [self.spark.read.schema(schema).parquet(p) for p in paths]
+        return reduce(DataFrame.unionByName, rows) if rows else self.spark.createDataFrame([], schema)
+
+    def documents(self, among: DataFrame | None = None, log: list[dict] | None = None) -> DataFrame:
+        """What counts now: (doc_id, tokenizer, source, lang, n_tokens, n_chars), of the documents (doc_id) given or of all."""
+        rows = self._read("docs", _DOC, self._log() if log is None else log)
+        if among is not None:  # few buckets are read for few documents
+            rows = rows.join(among.select("doc_id", self._bucket()), ["doc_id", "bucket"], "left_semi")
         keys = ["doc_id", "tokenizer", "source", "lang", "n_tokens", "n_chars"]
         return rows.groupBy(*keys).agg(F.sum("sign").alias("__held")).where("__held > 0").drop("__held")
 
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64("doc_id"), F.lit(self.buckets)).cast("int").alias("bucket")
+
+    def _write(self, signed: DataFrame, attempt: str) -> None:
+        rows = signed.withColumn("bucket", self._bucket())
+        rows.write.partitionBy("bucket").parquet(f"{self.path}/docs/{attempt}")
+        written = self.spark.read.schema(_DOC).parquet(f"{self.path}/docs/{attempt}")
+        sums = [F.sum(x).alias(c) for c, x in zip(_SUMS, (F.col("sign").cast("long"), F.col("sign") * F.col("n_tokens"), F.col("sign") * F.col("n_chars")), strict=True)]
+        written.groupBy(*KEYS).agg(*sums).write.parquet(f"{self.path}/deltas/{attempt}")
+
     def commit(self, batch_id: str, events: DataFrame) -> bool:
         """Apply events (doc_id, text, source, lang; op and seq if given) once; False if it was committed before."""
-        name = hashlib.sha256(batch_id.encode()).hexdigest()[:32]
-        if name in self.committed():
+        if batch_id in self.committed():
             return False
+        last = materialize(self._last_events(events), "events")
+        while True:
+            log = self._log()
+            if batch_id in _batches(log):
+                return False
+            versions = F.array(*(F.struct(F.lit(v).alias("tokenizer"), F.col(f"n_tokens_{i}").alias("n_tokens")) for i, v in enumerate(self.tokenizers)))
+            plus = last.where("op <> 'delete'").select("doc_id", "source", "lang", "n_chars", F.explode(versions).alias("v"))
+            signed = plus.select("doc_id", "v.tokenizer", "source", "lang", "v.n_tokens", "n_chars", F.lit(1).alias("sign"))
+            if log:
+                signed = signed.unionByName(self.documents(last, log).withColumn("sign", F.lit(-1)))
+            attempt = uuid.uuid4().hex
+            self._write(signed, attempt)
+            if self._append(log[-1]["number"] + 1 if log else 0, {"batch": batch_id, "attempt": attempt}):
+                break
+        if len(log) >= MERGE_AFTER:
+            self.merge()
+        return True
+
+    def _last_events(self, events: DataFrame) -> DataFrame:
+        """The event of each document that holds, counted."""
         events = events.withColumns({c: v for c, v in {"op": F.lit("insert"), "seq": F.lit(0).cast("long")}.items() if c not in events.columns})
+        op = F.coalesce(F.col("op").cast("string"), F.lit("insert")).alias("op")
         events = events.where("doc_id is not null").select(
-            F.col("doc_id").cast("long").alias("doc_id"), F.col("seq").cast("long").alias("seq"), F.col("op").alias("op"),
-            F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"),
-            F.when(F.col("op") != "delete", F.col("text")).alias("text"),
-        )
+            F.col("doc_id").cast("long").alias("doc_id"), F.col("seq").cast("long").alias("seq"), op,
+            F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), "text",
+        ).where("op in ('insert', 'revise', 'delete')").withColumn("text", F.when(F.col("op") != "delete", F.col("text")))
         counted = count_tokens(events, self.tokenizers, ["doc_id", "seq", "op", "source", "lang"])
-        fields = [c for c in counted.columns if c != "doc_id"]
-        last = counted.groupBy("doc_id").agg(F.max(F.struct(*["seq", *[c for c in fields if c != "seq"]])).alias("e")).select("doc_id", "e.*")
-        versions = F.array(*(F.struct(F.lit(v).alias("tokenizer"), F.col(f"n_tokens_{i}").alias("n_tokens")) for i, v in enumerate(self.tokenizers)))
-        plus = last.where("op <> 'delete'").select("doc_id", "source", "lang", "n_chars", F.explode(versions).alias("v"))
-        signed = plus.select("doc_id", "v.tokenizer", "source", "lang", "v.n_tokens", "n_chars", F.lit(1).alias("sign"))
-        if self.committed():
-            minus = self.documents().join(last.select("doc_id"), "doc_id", "left_semi")
-            signed = signed.unionByName(minus.withColumn("sign", F.lit(-1)))
-        signed.withColumn("batch", F.lit(name)).write.mode("overwrite").parquet(f"{self.path}/docs/{name}")
-        written = self.spark.read.schema(_DOC).parquet(f"{self.path}/docs/{name}")
-        sums = [F.sum(x).alias(c) for c, x in (("n_docs", F.col("sign").cast("long")), ("n_tokens", F.col("sign") * F.col("n_tokens")), ("n_chars", F.col("sign") * F.col("n_chars")))]
-        written.groupBy(*KEYS).agg(*sums).write.mode("overwrite").parquet(f"{self.path}/deltas/{name}")
-        fs, where = self._fs(f"{self.path}/commits/{name}")
-        fs.create(where, False).close()
-        return True
+        counts = [c for c in counted.columns if c.startswith("n_")]
+        return counted.groupBy("doc_id").agg(F.max(F.struct("seq", *counts, "op", "source", "lang")).alias("e")).select("doc_id", "e.*")
+
+    def merge(self) -> None:
+        """One part for all batches; rows that cancel out go. If another commit comes first, the next one merges."""
+        log = self._log()
+        attempt = uuid.uuid4().hex
+        self._write(self.documents(log=log).withColumn("sign", F.lit(1)), attempt)
+        self._append(log[-1]["number"] + 1 if log else 0, {"merged": _batches(log), "attempt": attempt})
 
     def totals(self) -> DataFrame:
         """(source, lang, tokenizer, n_docs, n_tokens, n_chars); groups that came to nothing are gone."""
-        deltas = self._read("deltas", _DELTA)
-        return deltas.groupBy(*KEYS).agg(*(F.sum(c).alias(c) for c in ("n_docs", "n_tokens", "n_chars"))).where("n_docs <> 0")
+        deltas = self._read("deltas", _DELTA, self._log())
+        return deltas.groupBy(*KEYS).agg(*(F.sum(c).alias(c) for c in _SUMS)).where("n_docs <> 0")

@@ -34,18 +34,71 @@ def test_recall_and_scores(spark):
 def test_odd_vectors_and_ties(spark):
     data = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [None, 1.0]), (7, [1.0, 2.0, 3.0]), (8, [float("inf"), 1.0]), (None, [1.0, 1.0]), (9, []), (10, [0.0, 5.0]), (10, [0.0, 5.0])]
     vectors = A.usable(spark.createDataFrame(data, "vec_id long, embedding array<double>"))
-    assert sorted(r.id for r in vectors.collect()) == [0, 1, 2, 10, 10]
+    assert sorted(r.id for r in vectors.collect()) == [0, 1, 2, 7, 10, 10]
     got = [(r.query_id, r.rank, r.vec_id) for r in A.search(vectors, vectors.where("id % 10 = 0")).orderBy("query_id", "rank").collect()]
     assert got == [(0, 1, 1), (0, 2, 2), (0, 3, 10), (0, 4, 10), (10, 1, 0), (10, 2, 1), (10, 3, 2)]
     assert A.search(vectors.limit(0), vectors).collect() == []
     assert A.search(vectors, vectors.limit(0)).collect() == []
 
 
-def test_probing_finds_all_codes_of_a_radius():
-    codes = np.random.default_rng(2).integers(0, 256, (400, 8)).astype(np.uint8)
-    codes[:50] = codes[0] ^ (np.random.default_rng(3).random((50, 8)) < 0.2).astype(np.uint8)
-    index = A.SubstringIndex(codes)
-    for radius in (0, 3, 9, 25, 64):
-        rows, apart = index.within(codes[0], radius)
-        want = A._POPCOUNT[codes ^ codes[0]].sum(1)
-        assert (rows == np.flatnonzero(want <= radius)).all() and (apart == want[rows]).all()
+def test_each_length_is_searched_on_its_own(spark):
+    data = [(0, [1.0, 0.0]), (1, [1.0, 0.1]), (2, [1.0, 0.0, 0.0]), (3, [0.9, 0.0, 0.0]), (4, [5.0]), (5, [1.0, 0.3])]
+    vectors = A.usable(spark.createDataFrame(data, "vec_id long, embedding array<double>"))
+    got = [(r.query_id, r.rank, r.vec_id) for r in A.search(vectors, vectors).orderBy("query_id", "rank").collect()]
+    assert got == [(0, 1, 1), (0, 2, 5), (1, 1, 0), (1, 2, 5), (2, 1, 3), (3, 1, 2), (5, 1, 1), (5, 2, 0)]
+
+
+def test_clear_clusters_need_few_rows(spark):
+    """Where neighbours are near, probing leaves most rows alone; a hot vector and far queries lose nothing."""
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(400, 32)) * 4
+    data = [(i, (centres[i % 400] + 0.3 * rng.normal(size=32)).tolist()) for i in range(12_000)]
+    data += [(20_000 + i, data[7][1]) for i in range(3000)] + [(30_000 + i, (100 * rng.normal(size=32)).tolist()) for i in (0, 100)]
+    vectors = A.usable(spark.createDataFrame(data, "vec_id long, embedding array<double>"))
+    got = A.search(vectors, vectors.where("id % 100 = 0")).collect()
+    want = brute_fast(data, [x for x in data if x[0] % 100 == 0], 10)
+    found = {q: set() for q in want}
+    for r in got:
+        found[r.query_id].add(r.vec_id)
+    assert all(len(x) == 10 for x in found.values())
+    assert sum(len(found[q] & want[q]) for q in want) >= 0.95 * 10 * len(want)
+    assert all(found[q] == want[q] for q in want if q >= 20_000)
+    x = np.array([v for _, v in data[:12_000:2]])
+    p = A.plan(x, x[::20], (np.arange(300), np.arange(0, 6000, 20)), 10, 12_000, 120)
+    assert p.share < 0.1 and p.recall >= A.TARGET
+
+
+def brute_fast(data, queries, k):
+    ids, x = np.array([i for i, _ in data]), np.array([v for _, v in data])
+    out = {}
+    for q, v in queries:
+        far = np.sqrt(((x - np.array(v)) ** 2).sum(1))
+        order = [i for i in np.lexsort((ids, far)) if ids[i] != q][:k]
+        out[q] = set(ids[order].tolist())
+    return out
+
+
+def test_probing_finds_all_values_of_a_radius(monkeypatch):
+    monkeypatch.setattr(A, "PROBES", 500)
+    rng = np.random.default_rng(2)
+    values, ids = rng.integers(0, 1 << 10, 4000).astype(np.uint32), rng.permutation(4000).astype(np.int64)
+    values[:1500] = 77
+    asked = np.array([77, 0, 1023, 500], np.uint32)
+    for radius in (0, 2, 10):
+        index = A.SubstringIndex(ids, values, 10, radius)
+        got = sorted((int(q), int(r)) for qs, rs in index.probe(np.arange(4), asked) for q, r in zip(qs, rs, strict=True))
+        assert got == sorted((q, int(i)) for q in range(4) for i, v in zip(ids, values, strict=True) if bin(int(v ^ asked[q])).count("1") <= radius)
+
+
+def test_crowded_parts_are_split(spark, monkeypatch):
+    """Many parts and pieces find what one of each finds."""
+    rng = np.random.default_rng(4)
+    data = [(i, rng.normal(size=16).tolist()) for i in range(1500)] + [(2000 + i, (np.ones(16) + 0.01 * rng.normal(size=16)).tolist()) for i in range(900)]
+    vectors = A.usable(spark.createDataFrame(data, "vec_id long, embedding array<double>"))
+    rows = vectors.select("id", F.lit(1).alias("copies"), "vector").cache()
+    x = np.array([v for _, v in data])
+    p = A.plan(x, x[::80], (np.arange(30), np.arange(0, 2400, 80)), 10, len(data), 30)._replace(bits=10, radius=1, tables=3)
+    pairs = lambda: sorted((r.query_id, r.id) for r in A._retrieved(rows, rows.where("id % 80 = 0"), p, len(data), 4).distinct().collect())
+    whole = pairs()
+    monkeypatch.setattr(A, "PART_ROWS", 100)
+    assert A._crowded(rows, p, 4) and pairs() == whole and len(whole) > 900
