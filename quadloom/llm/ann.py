@@ -18,10 +18,15 @@ near, few probes of few tables are enough; where they are hardly nearer than
 any other row, as among random vectors, the plan says so by the share of rows
 that it expects to retrieve (``Plan.share``).
 
-Entries travel packed, by substring and the leading bits of its value; a part
-that many rows share is split further by a hash of the id, and queries go to the
-parts that hold values they probe. So what is shuffled grows with the rows, the
-queries, and what is retrieved, never with rows times queries. Rows of one
+Where a query is expected to retrieve ``CANDIDATES`` rows at most, the index is
+one table: entries travel packed, by substring and the leading bits of its
+value; a part that many rows share is split further by a hash of the id, and
+queries go to the parts that hold values they probe. What is shuffled grows
+with rows, queries and what is retrieved. Where a query retrieves more, as no
+code tells its neighbours from the rest, pairs would be most of all rows times
+queries: then rows are dealt to blocks of ``BLOCK_NUMBERS`` components, each
+with all substrings' entries of its own, every block is probed by every query,
+and only its k nearest leave it. Both ways find the same. Rows of one
 vector are one entry: no query can have more than the k + 1 least of their ids
 among its nearest.
 
@@ -63,6 +68,8 @@ TABLE_BITS, RADII, MOST_TABLES = range(8, 21, 2), range(4), 512
 ENTRY_COST, PROBE_COST, CANDIDATE_COST = 1.0, 0.3, 20.0
 #: Entries of one part of an index, vectors whose entries are packed at once, and probes that are looked up at once.
 PART_ROWS, PACKED_ROWS, PROBES = 1 << 21, 4096, 1 << 20
+#: Rows that a query may be expected to retrieve from one table of entries; components of a block, its least rows, and queries at once.
+CANDIDATES, BLOCK_NUMBERS, LEAST_BLOCK_ROWS, BLOCK_QUERIES = 500, 1 << 24, 1024, 512
 #: Queries whose vectors are sent to every executor: up to so many components.
 BROADCAST_NUMBERS = 1 << 22
 _POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
@@ -121,7 +128,7 @@ def plan(sample: np.ndarray, asked: np.ndarray, own: np.ndarray, k: int, n_rows:
     """A plan by sampled rows and queries; own (query, row): which of them are one id."""
     n, d = sample.shape
     mean = sample.mean(0)
-    all_rows = Plan(mean, _rotations(sample - mean, max(CHECK_BITS, 8)), 8, 8, 1, CHECK_BITS, 1.0, 1.0)
+    all_rows = Plan(mean, _rotations(sample - mean, CHECK_BITS), 8, 8, 1, CHECK_BITS, 1.0, 1.0)
     if n < 2 or not len(asked):
         return all_rows
     signs = np.where(all_rows.signs(sample), 1.0, -1.0).astype(np.float32)
@@ -303,15 +310,14 @@ def differing_bits(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
 
 
-def _ranked(pairs: DataFrame, rows: DataFrame, asked: DataFrame, n_numbers: int, check: int | None, k: int) -> DataFrame:
+def _ranked(pairs: DataFrame, rows: DataFrame, asked: DataFrame, n_numbers: int, check: int, k: int) -> DataFrame:
     """(query_id, vec_id, score) of the k nearest rows of each query among its pairs; those beyond the check go first."""
     # one exchange by id serves distinct pairs and the join
     pairs = pairs.repartition("id").dropDuplicates(["id", "query_id"])
     held = pairs.join(rows, "id")
     ask = asked.select(F.col("id").alias("query_id"), F.col("vector").alias("q"), F.col("code").alias("qc"))
     held = held.join(F.broadcast(ask) if n_numbers <= BROADCAST_NUMBERS else ask, "query_id")
-    if check is not None:
-        held = held.where(differing_bits(F.col("code"), F.col("qc")) <= check)
+    held = held.where(differing_bits(F.col("code"), F.col("qc")) <= check)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -328,6 +334,75 @@ def _ranked(pairs: DataFrame, rows: DataFrame, asked: DataFrame, n_numbers: int,
     return each.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+class Block:
+    """Rows of a block; their entries are sorted for one substring after the other."""
+
+    def __init__(self, ids: np.ndarray, copies: np.ndarray, vectors: np.ndarray, p: Plan):
+        self.ids, self.copies, self.vectors, self.plan = ids, copies, vectors, p
+        signs = p.signs(vectors)
+        self.code, self.values = p.checked(signs), p.values(signs)
+
+    def retrieved(self, values: np.ndarray) -> np.ndarray:
+        """(query, row): what probing every substring finds, as flags."""
+        p, hit = self.plan, np.zeros((len(values), len(self.ids)), bool)
+        rows = np.arange(len(self.ids))
+        for t in range(p.tables):
+            index = SubstringIndex(rows, self.values[:, t], p.bits, p.radius)
+            for q, r in index.probe(np.arange(len(values)), values[:, t]):
+                hit[q, r] = True
+        return hit
+
+    def nearest(self, asked: np.ndarray, vectors: np.ndarray, k: int, everything: bool) -> Iterator[tuple[int, int, float]]:
+        """(query, id, distance): the k nearest of what each query retrieves, within the check of whole codes."""
+        p = self.plan
+        signs = p.signs(vectors)
+        hit = np.ones((len(asked), len(self.ids)), bool) if everything else self.retrieved(p.values(signs))
+        hit &= asked[:, None] != self.ids[None, :]
+        code = p.checked(signs)
+        for i, query in enumerate(asked):
+            rows = np.flatnonzero(hit[i])
+            if not everything:
+                rows = rows[_POPCOUNT[(self.code[rows] ^ code[i]).view(np.uint8)].reshape(len(rows), -1).sum(1, dtype=np.int64) <= p.check]
+            far = np.sqrt(((self.vectors[rows] - vectors[i]) ** 2).sum(1))
+            rows = rows[best := np.lexsort((self.ids[rows], far))[:k]]
+            each = np.repeat(np.arange(len(rows)), np.minimum(self.copies[rows], k))[:k]
+            yield from zip([int(query)] * len(each), self.ids[rows[each]].tolist(), far[best][each].tolist(), strict=True)
+
+
+def _in_blocks(rows: DataFrame, asked: DataFrame, p: Plan, n_rows: int, parts: int, k: int, everything: bool = False) -> DataFrame:
+    """(query_id, rank, vec_id, score): each query's k nearest of what it retrieves, or of all rows."""
+    d = len(p.mean)
+    n_blocks = max(1, -(-n_rows * d // BLOCK_NUMBERS), min(parts, -(-n_rows // LEAST_BLOCK_ROWS)))
+    lead = rows.select(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(n_blocks)).cast("int").alias("block"), F.lit(0).alias("asks"), "id", "copies", "vector")
+    probes = asked.select(F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"), F.lit(1).alias("asks"), "id", "copies", "vector")
+    dealt = lead.unionByName(probes).repartition(max(parts, n_blocks), "block").sortWithinPartitions("block", "asks")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, built = None, [], None
+        for batch in batches:
+            if not len(batch):
+                continue
+            block, asks, ids, copies = (batch.column(i).to_numpy() for i in range(4))
+            vectors, out = _matrix(batch.column(4)), []
+            cuts = np.flatnonzero(np.r_[True, (block[1:] != block[:-1]) | (asks[1:] != asks[:-1])])
+            for lo, hi in zip(cuts, [*cuts[1:], len(block)], strict=True):
+                if int(block[lo]) != at:
+                    at, held, built = int(block[lo]), [], None
+                if not asks[lo]:
+                    held.append((ids[lo:hi].copy(), copies[lo:hi].copy(), vectors[lo:hi].copy()))
+                elif held or built:
+                    if built is None:
+                        built, held = Block(*(np.concatenate(x) for x in zip(*held, strict=True)), p), []
+                    for i in range(lo, hi, BLOCK_QUERIES):
+                        out.extend(built.nearest(ids[i : min(i + BLOCK_QUERIES, hi)], vectors[i : min(i + BLOCK_QUERIES, hi)], k, everything))
+            q, v, x = zip(*out, strict=True) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(x, pa.float64())], ["query_id", "vec_id", "score"])
+
+    near = mapped(dealt, run, "query_id long, vec_id long, score double")
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
+    return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
 def _least_ids(table: DataFrame, k: int) -> DataFrame:
     """(id, copies, vector): of rows of one vector the k + 1 least ids, with the number of rows of each."""
     rows = table.groupBy("vector", "id").agg(F.count("*").alias("copies"))
@@ -361,13 +436,16 @@ def _of_length(table: DataFrame, asked: DataFrame, d: int, k: int, target: float
     p = plan(sample if n_rows else np.zeros((1, d)), ask, np.nonzero(ask_ids[:, None] == ids[None, :]), k, n_rows, n_asked, target)
     rows = materialize(_coded(rows, p), "coded")
     asked = materialize(_coded(asked.select("id", F.lit(1).cast("long").alias("copies"), "vector"), p), "asked")
-    near = materialize(_ranked(_retrieved(rows, asked, p, n_rows, parts), rows, asked, n_asked * d, p.check, k), "near")
-    if p.share < 1 or p.check < CHECK_BITS:  # a query that found too few is compared with all rows
+    if p.share * n_rows <= CANDIDATES:
+        near = _ranked(_retrieved(rows, asked, p, n_rows, parts), rows, asked, n_asked * d, p.check, k)
+    else:
+        near = _in_blocks(rows, asked, p, n_rows, parts, k, everything=p.share == 1)
+    near = materialize(near, "near")
+    if p.share < 1:  # a query that found too few is compared with all rows
         held = near.groupBy(F.col("query_id").alias("id")).agg(F.count("*").alias("n"))
         least = min(k, table.select("id").distinct().limit(k + 1).count() - 1)
-        lacking = materialize(asked.join(held, "id", "left").where(F.coalesce("n", F.lit(0)) < least).select("id", "copies", "vector", "code"), "lacking")
-        if n_lacking := lacking.count():
-            everything = _retrieved(rows, lacking, p._replace(radius=p.bits, tables=1), n_rows, parts)
-            more = _ranked(everything, rows, lacking, n_lacking * d, None, k)
-            near = near.join(lacking.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(more.select(*near.columns))
+        lacking = materialize(asked.join(held, "id", "left").where(F.coalesce("n", F.lit(0)) < least).select("id", "copies", "vector"), "lacking")
+        if not lacking.isEmpty():
+            more = _in_blocks(rows, lacking, p, n_rows, parts, k, everything=True)
+            near = near.join(lacking.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(more)
     return near.select("query_id", "rank", "vec_id", "score")

@@ -90,6 +90,18 @@ def test_probing_finds_all_values_of_a_radius(monkeypatch):
         assert got == sorted((q, int(i)) for q in range(4) for i, v in zip(ids, values, strict=True) if bin(int(v ^ asked[q])).count("1") <= radius)
 
 
+def test_both_ways_find_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    data = [(i, rng.normal(size=24).tolist()) for i in range(3000)] + [(9000, [float(i) for i in range(24)])] * 2
+    vectors = A.usable(spark.createDataFrame(data, "vec_id long, embedding array<double>"))
+    found = []
+    for candidates in (0, 10**9):
+        monkeypatch.setattr(A, "CANDIDATES", candidates)
+        monkeypatch.setattr(A, "CANDIDATE_COST", 1e6)  # a plan that retrieves few rows
+        found.append(sorted(map(tuple, A.search(vectors, vectors.where("id % 90 = 0")).collect())))
+    assert found[0] == found[1] and len(found[0]) == 10 * 35
+
+
 def test_crowded_parts_are_split(spark, monkeypatch):
     """Many parts and pieces find what one of each finds."""
     rng = np.random.default_rng(4)
