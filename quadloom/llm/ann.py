@@ -65,7 +65,7 @@ CHECK_BITS, CHECK_SHARE = 256, 0.995
 #: Settings that a plan chooses from.
 TABLE_BITS, RADII, MOST_TABLES = range(8, 21, 2), range(4), 512
 #: The work of an entry, a probe and a candidate, in the plan's terms.
-ENTRY_COST, PROBE_COST, CANDIDATE_COST = 1.0, 0.3, 20.0
+ENTRY_COST, PROBE_COST, CANDIDATE_COST = 1.0, 0.3, 60.0
 #: Entries of one part of an index, vectors whose entries are packed at once, and probes that are looked up at once.
 PART_ROWS, PACKED_ROWS, PROBES = 1 << 21, 4096, 1 << 20
 #: Rows that a query may be expected to retrieve from one table of entries; components of a block, its least rows, and queries at once.
@@ -124,8 +124,8 @@ def _within(bits: int, radius: int, apart: np.ndarray) -> np.ndarray:
     return sum(math.comb(bits, i) * apart**i * (1 - apart) ** (bits - i) for i in range(radius + 1))
 
 
-def plan(sample: np.ndarray, asked: np.ndarray, own: np.ndarray, k: int, n_rows: int, n_queries: int, target: float = TARGET) -> Plan:
-    """A plan by sampled rows and queries; own (query, row): which of them are one id."""
+def plan(sample: np.ndarray, asked: np.ndarray, own: np.ndarray, k: int, n_rows: int, n_queries: int, target: float = TARGET, at_once: int | None = None) -> Plan:
+    """A plan by sampled rows and queries; own (query, row): which of them are one id; at_once: the rows of one index, by default all."""
     n, d = sample.shape
     mean = sample.mean(0)
     all_rows = Plan(mean, _rotations(sample - mean, CHECK_BITS), 8, 8, 1, CHECK_BITS, 1.0, 1.0)
@@ -143,7 +143,8 @@ def plan(sample: np.ndarray, asked: np.ndarray, own: np.ndarray, k: int, n_rows:
     neighbour = found / CHECK_BITS
     other, weight = np.unique(apart, return_counts=True)
     other, weight = other / CHECK_BITS, weight / weight.sum()
-    best, chosen = CANDIDATE_COST * n_rows * n_queries, None
+    held = at_once or n_rows
+    best, chosen = CANDIDATE_COST * held * n_queries, None
     for bits in TABLE_BITS:
         for radius in RADII:
             hit, stray, probes = _within(bits, radius, neighbour), _within(bits, radius, other), len(masks(bits, radius))
@@ -152,7 +153,7 @@ def plan(sample: np.ndarray, asked: np.ndarray, own: np.ndarray, k: int, n_rows:
                 continue
             m = 1 + bisect.bisect_left(range(1, MOST_TABLES), True, key=lambda m: recall(m) >= target)
             share = float(((1 - (1 - stray) ** m) * weight).sum())
-            work = ENTRY_COST * m * n_rows + PROBE_COST * m * probes * n_queries + CANDIDATE_COST * share * n_rows * n_queries
+            work = ENTRY_COST * m * (held + (1 << bits)) + PROBE_COST * m * probes * n_queries + CANDIDATE_COST * share * held * n_queries
             if work < best:
                 best, chosen = work, (bits, radius, m, share)
     if chosen is None:
@@ -369,10 +370,12 @@ class Block:
             yield from zip([int(query)] * len(each), self.ids[rows[each]].tolist(), far[best][each].tolist(), strict=True)
 
 
-def _in_blocks(rows: DataFrame, asked: DataFrame, p: Plan, n_rows: int, parts: int, k: int, everything: bool = False) -> DataFrame:
+def _blocks(n_rows: int, d: int, parts: int) -> int:
+    return max(1, -(-n_rows * d // BLOCK_NUMBERS), min(parts, -(-n_rows // LEAST_BLOCK_ROWS)))
+
+
+def _in_blocks(rows: DataFrame, asked: DataFrame, p: Plan, n_blocks: int, parts: int, k: int, everything: bool = False) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest of what it retrieves, or of all rows."""
-    d = len(p.mean)
-    n_blocks = max(1, -(-n_rows * d // BLOCK_NUMBERS), min(parts, -(-n_rows // LEAST_BLOCK_ROWS)))
     lead = rows.select(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(n_blocks)).cast("int").alias("block"), F.lit(0).alias("asks"), "id", "copies", "vector")
     probes = asked.select(F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"), F.lit(1).alias("asks"), "id", "copies", "vector")
     dealt = lead.unionByName(probes).repartition(max(parts, n_blocks), "block").sortWithinPartitions("block", "asks")
@@ -433,19 +436,23 @@ def _of_length(table: DataFrame, asked: DataFrame, d: int, k: int, target: float
     n_rows, n_asked = rows.count(), asked.count()
     most = max(2, min(SAMPLE, SAMPLE_NUMBERS // d))
     (ids, sample), (ask_ids, ask) = _drawn(rows, most, d), _drawn(asked, min(most, SAMPLE_QUERIES), d)
-    p = plan(sample if n_rows else np.zeros((1, d)), ask, np.nonzero(ask_ids[:, None] == ids[None, :]), k, n_rows, n_asked, target)
+    seen = (sample if n_rows else np.zeros((1, d)), ask, np.nonzero(ask_ids[:, None] == ids[None, :]), k, n_rows, n_asked, target)
+    p, n_blocks = plan(*seen), _blocks(n_rows, d, parts)
+    whole = p.share * n_rows <= CANDIDATES
+    if not whole:
+        p = plan(*seen, at_once=-(-n_rows // n_blocks))
     rows = materialize(_coded(rows, p), "coded")
     asked = materialize(_coded(asked.select("id", F.lit(1).cast("long").alias("copies"), "vector"), p), "asked")
-    if p.share * n_rows <= CANDIDATES:
+    if whole:
         near = _ranked(_retrieved(rows, asked, p, n_rows, parts), rows, asked, n_asked * d, p.check, k)
     else:
-        near = _in_blocks(rows, asked, p, n_rows, parts, k, everything=p.share == 1)
+        near = _in_blocks(rows, asked, p, n_blocks, parts, k, everything=p.share == 1)
     near = materialize(near, "near")
     if p.share < 1:  # a query that found too few is compared with all rows
         held = near.groupBy(F.col("query_id").alias("id")).agg(F.count("*").alias("n"))
         least = min(k, table.select("id").distinct().limit(k + 1).count() - 1)
         lacking = materialize(asked.join(held, "id", "left").where(F.coalesce("n", F.lit(0)) < least).select("id", "copies", "vector"), "lacking")
         if not lacking.isEmpty():
-            more = _in_blocks(rows, lacking, p, n_rows, parts, k, everything=True)
+            more = _in_blocks(rows, lacking, p, n_blocks, parts, k, everything=True)
             near = near.join(lacking.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(more)
     return near.select("query_id", "rank", "vec_id", "score")

@@ -1,10 +1,12 @@
+import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from quadloom.llm import licenses as L
-from quadloom.llm.license_rules import rules
+from quadloom.llm.license_rules import HEADING, SIGNATURES, gates, rules
 
 TEXTS = [
     None, "", "Licensed under the Apache License, Version 2.0.", "Released under the MIT License.", "This work is licensed under the GNU General Public License, version 3.", "All rights reserved.",
@@ -40,19 +42,65 @@ def test_labels(found, i, labels):
     assert next(r.labels for r in found if r.doc_id == i) == labels
 
 
+def brute_labels(text):
+    """All rules at every word of the whole text; a heading's words stand in one line. Intervals inside better ones go."""
+    low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    words, ends = [], []
+    for line in low.split("\n"):
+        found = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", line)
+        words += found
+        ends += [False] * (len(found) - 1) + [True] * bool(found)
+    s = " " + "".join(f"{w} " for w in words)
+    t = " " + "".join(w + ("\n" if end else " ") for w, end in zip(words, ends, strict=True))[:-1] + " "
+    hits = []
+    for i, x in enumerate(rules()):
+        heading = x.pattern.startswith(HEADING)
+        pattern = re.compile((HEADING + x.pattern.removeprefix(HEADING).replace(" ", "[ \n]") if heading else x.pattern) + "(?=[ \n])")
+        at = 0
+        while (at := at + 1) < len(s):
+            if s[at - 1] == " " and (m := pattern.match(t if heading else s, at)):
+                hits.append((at, m.end(), x.priority, i, x))
+    beats = lambda g, h: g[0] <= h[0] and g[1] >= h[1] and (g[2], g[1] - g[0], -g[3]) > (h[2], h[1] - h[0], -h[3])
+    kept = [h for h in hits if not any(beats(g, h) for g in hits)]
+    return {h[4].label for h in kept}, max([0.0, *(h[4].weight for h in kept)])
+
+
 def test_suppression_equals_brute_force(spark, found):
-    """All rules over each line, then intervals inside better ones go."""
     for r in found:
-        labels, best = set(), 0.0
-        for line in set(re.sub("[A-Z]", lambda m: m[0].lower(), TEXTS[r.doc_id] or "").split("\n")):
-            s = f" {re.sub(r'[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', line).strip()} "
-            hits = [(m.start(), m.end(), x.priority, i, x) for i, x in enumerate(rules()) if x.keyword in s for m in re.finditer(f"(?<= )(?:{x.pattern})(?= )", s)]
-            beats = lambda g, h: g[0] <= h[0] and g[1] >= h[1] and (g[2], g[1] - g[0], -g[3]) > (h[2], h[1] - h[0], -h[3])
-            kept = [h for h in hits if not any(beats(g, h) for g in hits)]
-            labels |= {h[4].label for h in kept}
-            best = max([best, *(h[4].weight for h in kept)])
-        assert set(r.labels.split(",")) - {""} == labels | (set(r.base_labels.split(",")) - {""})
-        assert r.score == max(best, L.BASE_WEIGHT if r.n_base else 0.0)
+        if len(TEXTS[r.doc_id] or "") < 10_000:
+            labels, best = brute_labels(TEXTS[r.doc_id])
+            assert set(r.labels.split(",")) - {""} == labels | (set(r.base_labels.split(",")) - {""}), TEXTS[r.doc_id]
+            assert r.score == max(best, L.BASE_WEIGHT if r.n_base else 0.0)
+
+
+def test_windows_equal_brute_force(spark, monkeypatch):
+    """Matches at the edges of windows, and more of them than a window holds."""
+    monkeypatch.setattr(L, "WINDOW", 7)
+    rng, parts = random.Random(3), ["licensed under the", "mit license", "apache license version 2 0", "cc by", "word", "all rights reserved", "license\n", "the gnu general public\nlicense version 3", "creative commons", "permission is hereby granted free of charge"]
+    texts = ["\n".join(" ".join(rng.choices(parts, k=rng.randrange(1, 9))) for _ in range(4)) for _ in range(12)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in L.scan_licenses(frame).collect():
+        labels, best = brute_labels(texts[r.doc_id])
+        assert set(r.labels.split(",")) - {""} == labels | (set(r.base_labels.split(",")) - {""}), texts[r.doc_id]
+
+
+def test_every_rule_holds_a_gate():
+    """Each signature's own text passes the gates and is found by its rule."""
+    for r in rules():
+        assert re.compile(r.pattern)
+    for line in SIGNATURES.strip().splitlines():
+        keyword, pattern, *_ = line.split(" | ")
+        for one in pattern.split("|") if "(" not in pattern else []:
+            text = re.sub(r"\.\{\d+,\d+\}\??", "some name", re.sub(r"\[([^\]])[^\]]*\]", r"\1", one)).replace(" ?", " ").replace("e?", "e")
+            assert keyword in f" {text} " and any(g in f" {text} " for g in gates()), line
+
+
+def test_work_grows_with_the_text(spark):
+    """A quarter of a megabyte of matches in one line."""
+    text = "licensed under the mit license " * 8000
+    start = time.time()
+    r = L.scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert r.labels == "mit" and time.time() - start < 60
 
 
 def test_plan_is_native(spark):
