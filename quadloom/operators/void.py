@@ -48,8 +48,8 @@ def object_uris(t: DataFrame) -> DataFrame:
 
 def datatypes(t: DataFrame) -> DataFrame:
     """A row a datatype with their number; no literals, no rows."""
-    found = t.where("o_kind = 'literal' and o_dt is not null").select(F.col("o_dt").alias("datatype")).distinct()
-    return found.crossJoin(F.broadcast(found.agg(F.count("*").alias("datatypes"))))
+    found = t.where("o_kind = 'literal' and o_dt is not null").agg(F.collect_set("o_dt").alias("all"))  # a few names
+    return found.select(F.explode("all").alias("datatype"), F.size("all").cast("long").alias("datatypes"))
 
 
 def types(t: DataFrame) -> DataFrame:
@@ -67,7 +67,8 @@ def _by_class(t: DataFrame) -> DataFrame:
 
 def class_property_subjects(t: DataFrame) -> DataFrame:
     """Distinct subjects; a subject's class and property meet once, so distinct pairs first make it a plain count."""
-    return t.select("s", "p").distinct().join(types(t), "s").groupBy("class", "p").agg(F.count("*").alias("entities"))
+    # dealt by subject once, which serves the distinct pairs and the join
+    return t.select("s", "p").repartition("s").distinct().join(types(t), "s").groupBy("class", "p").agg(F.count("*").alias("entities"))
 
 
 def class_property_objects(t: DataFrame) -> DataFrame:

@@ -1,8 +1,7 @@
 """Quads to documents: one row for each root of a type, by its declaration.
 
-Each field is one select of the quads (a path is a chain of joins), so fields
-never multiply each other; the selects are put together by one grouping on
-(root, field) and one on root. "First" is the least by (ordinal, text): quads
+The fields of one step share one select of the quads and one grouping by root;
+each longer path is a chain of joins of its own. So fields never multiply each other. "First" is the least by (ordinal, text): quads
 carry an ordinal column ``ord`` or are ordered by their text.
 """
 
@@ -46,25 +45,39 @@ def key_of(candidates: Column, node: Column, pick=None) -> Column:
     return F.coalesce(F.when(F.array_contains(held, chosen), chosen), node)
 
 
-def _values(rows: DataFrame, f: Field) -> DataFrame:
-    """(root, values): the field's texts in order, transformed; of a reference only absolute IRIs."""
+def _entry(f: Field) -> Column:
+    """(ord, value, lang) of a row of ``follow`` as a field has it, transformed; null if it is none. Of a reference only absolute IRIs."""
     value = F.col("value") if f.transform is None else f.transform(F.col("value"))
+    ok = value.isNotNull()
     if f.kind == "reference" and not f.inline:
-        rows = rows.where("kind <> 'bnode'")
-    rows = rows.select("root", value.alias("value"), F.coalesce(language_tag(F.lower("lang")), F.lit("und")).alias("lang"), "ord").where("value is not null")
-    if f.kind == "reference" and not f.inline:
-        rows = rows.where(is_absolute_iri(F.col("value")))
-    return rows.groupBy("root").agg(F.array_sort(F.collect_set(F.struct("ord", "value", "lang"))).alias("values"))
+        ok = ok & (F.col("kind") != "bnode") & is_absolute_iri(value)
+    return F.when(ok, F.struct("ord", value.alias("value"), F.coalesce(language_tag(F.lower("lang")), F.lit("und")).alias("lang")))
+
+
+def _values(rows: DataFrame, f: Field) -> DataFrame:
+    """(root, values): the field's texts in order."""
+    rows = rows.select("root", _entry(f).alias("entry")).where("entry is not null")
+    return rows.groupBy("root").agg(F.array_sort(F.collect_set("entry")).alias("values"))
+
+
+def _one_step(quads: DataFrame, fields: list[Field]) -> DataFrame:
+    """(root, a list for each field): what stands one step from a node, by one select and one grouping."""
+    names = [f.path[0].split("|") for f in fields]
+    rows = quads.where(F.col("p").isin(sorted({n for x in names for n in x})))
+    rows = rows.select(F.col("s").alias("root"), "p", F.col("o").alias("value"), F.col("o_kind").alias("kind"), F.col("o_lang").alias("lang"), "ord")
+    rows = rows.select("root", *(F.when(F.col("p").isin(x), _entry(f)).alias(f"__v_{f.name}") for f, x in zip(fields, names, strict=True)))
+    held = rows.groupBy("root").agg(*(F.array_sort(F.collect_set(f"__v_{f.name}")).alias(f"__v_{f.name}") for f in fields))
+    return held.select("root", *(F.when(F.size(f"__v_{f.name}") > 0, F.col(f"__v_{f.name}")).alias(f"__v_{f.name}") for f in fields))
 
 
-def _columns(f: Field) -> dict[str, Column]:
-    """A field's columns from its sorted ``values``."""
-    texts = F.transform("values", lambda x: x["value"])
+def _columns(f: Field, values: str = "values") -> dict[str, Column]:
+    """A field's columns from its sorted values."""
+    texts = F.transform(values, lambda x: x["value"])
     first = F.try_element_at(texts, F.lit(1))
     if f.kind == "text":
-        langs = F.array_distinct(F.transform("values", lambda x: x["lang"]))
-        of = lambda lang: F.filter("values", lambda x: x["lang"] == lang)
-        shown = F.map_from_entries(F.transform(langs, lambda lang: F.struct(lang.alias("key"), F.element_at(F.filter("values", lambda x: x["lang"] == lang), 1)["value"].alias("value"))))
+        langs = F.array_distinct(F.transform(values, lambda x: x["lang"]))
+        of = lambda lang: F.filter(values, lambda x: x["lang"] == lang)
+        shown = F.map_from_entries(F.transform(langs, lambda lang: F.struct(lang.alias("key"), F.element_at(F.filter(values, lambda x: x["lang"] == lang), 1)["value"].alias("value"))))
         out = {f.name: shown}
         for x in f.locales:
             all_of = F.transform(of(F.lit(x)), lambda v: v["value"])
@@ -93,8 +106,13 @@ def project(quads: DataFrame, schema: SearchSchema, search_type: SearchType, roo
     if roots is None:
         roots = instances(quads, search_type.class_iri).select(F.col("s").alias("root"))
     out = roots.select("root").distinct()
+    near = [f for f in search_type.fields if f.path and not f.from_value and not f.inline and len(f.path) == 1 and not f.path[0].startswith("^") and not (f.ref and schema.type(f.ref).key)]
+    if near:
+        out = out.join(_one_step(quads, near), "root", "left")
     for f in search_type.fields:
-        if f.from_value:
+        if f in near:
+            out = out.withColumns(_columns(f, f"__v_{f.name}"))
+        elif f.from_value:
             out = out.withColumn(f.name, F.lit(dataset))
         elif f.path and f.inline:
             out = out.join(_inline(quads, schema, f, roots), "root", "left")
@@ -104,6 +122,7 @@ def project(quads: DataFrame, schema: SearchSchema, search_type: SearchType, roo
             if target and target.key:
                 held = _rekeyed(quads, held, target)
             out = out.join(held.select("root", *(c.alias(n) for n, c in _columns(f).items())), "root", "left")
+    out = out.drop(*(f"__v_{f.name}" for f in near))
     for f in search_type.fields:
         if f.derive:
             value = f.derive({name: F.col(name) for name in out.columns}, {"dataset": F.lit(dataset)})

@@ -37,20 +37,33 @@ def iri(table_name: str, *keys: Column) -> Column:
     return F.concat(F.lit(f"{BASE}{table_name}/"), F.concat_ws("-", *(k.cast("string") for k in keys)))
 
 
-def _term(p: Column | str, o: Column, kind: str, dt: Column | str | None = None, lang: Column | str | None = None) -> Column:
-    text = lambda x: x if isinstance(x, Column) else F.lit(x).cast("string")
-    return F.struct(text(p).alias("p"), o.alias("o"), F.lit(kind).alias("o_kind"), text(dt).alias("o_dt"), text(lang).alias("o_lang"))
-
-
-def _literal(name: str, kind: str) -> Column:
-    p = f"{BASE}prop/{name}"
+def _object(column: str, kind: str) -> tuple[Column, str | None]:
+    """A column's value as text, and its datatype."""
     if kind in ("int", "bigint"):
-        return _term(p, F.col(name).cast("string"), "literal", f"{XSD}integer")
+        return F.col(column).cast("string"), f"{XSD}integer"
     if kind == "double":
-        return _term(p, F.col(name).cast("decimal(18,2)").cast("string"), "literal", f"{XSD}decimal")
+        return F.col(column).cast("decimal(18,2)").cast("string"), f"{XSD}decimal"
     if kind.startswith("timestamp"):
-        return _term(p, F.date_format(name, "yyyy-MM-dd"), "literal", f"{XSD}date")
-    return _term(p, F.col(name), "literal", f"{XSD}string")
+        return F.date_format(column, "yyyy-MM-dd"), f"{XSD}date"
+    return F.col(column), f"{XSD}string"
+
+
+#: Keys of a table that several rows share, by session and path: what a look at the key columns once found.
+_repeated: dict[tuple[str, str], DataFrame | None] = {}
+#: Repeated keys up to which they are sent to every executor.
+BROADCAST_KEYS = 1_000_000
+
+
+def repeated_keys(spark: SparkSession, path: str, key: list[str]) -> DataFrame | None:
+    """The keys that several rows of a table share; None if there are none. Only the key columns are read, once a session."""
+    at = (spark.sparkContext.applicationId, path)
+    if at not in _repeated:
+        from quadloom.plans.tables import checkpointed
+
+        found = checkpointed(spark.read.parquet(path).groupBy(*key).count().where("count > 1").select(*key))
+        n = found.count()
+        _repeated[at] = None if n == 0 else F.broadcast(found) if n <= BROADCAST_KEYS else found
+    return _repeated[at]
 
 
 def table_quads(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,30 +71,44 @@ def table_quads(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
     A document has a second type and language-tagged text under one of the two spellings of the
     schema.org namespace (by the parity of its id), and a license.
+
+    Each column is a projection of its own with constant predicate, kind and datatype: a filter on
+    these leaves out whole projections while planning, and a scan reads the key and one column.
+    Rows that share a key merge, as a set of triples does; only they are made distinct.
     """
     rows = table(spark, sf_dir, name)
     class_name, key, foreign = TABLES[name]
-    terms = [_term(RDF_TYPE, F.lit(f"{BASE}class/{class_name}"), "iri")]
+    null = F.lit(None).cast("string")
+    parts: list[tuple[Column, Column, str, str | None, Column, list[str]]] = [(F.lit(RDF_TYPE), F.lit(f"{BASE}class/{class_name}"), "iri", None, null, [])]
     for column, kind in rows.dtypes:
         if column in foreign:
-            terms.append(_term(f"{BASE}prop/{column}", iri(foreign[column], F.col(column)), "iri"))
+            parts.append((F.lit(f"{BASE}prop/{column}"), iri(foreign[column], F.col(column)), "iri", None, null, [column]))
         elif (name, column) not in (("documents", "text"), ("documents", "lang")):
-            terms.append(_literal(column, kind))
+            o, dt = _object(column, kind)
+            parts.append((F.lit(f"{BASE}prop/{column}"), o, "literal", dt, null, [column]))
     if name == "documents":
-        space = F.when(F.col("doc_id") % 2 == 0, F.lit("https://schema.org/")).otherwise(F.lit("http://schema.org/"))
-        terms += [
-            _term(RDF_TYPE, F.concat(space, F.lit("CreativeWork")), "iri"),
-            _term(F.concat(space, F.lit("text")), F.col("text"), "literal", LANG_STRING, F.col("lang")),
-            _term(F.concat(space, F.lit("license")), F.concat(F.lit(f"{BASE}license/"), F.col("lang")), "iri"),
-        ]
+        for parity, space in enumerate(("https://schema.org/", "http://schema.org/")):
+            own = F.col("doc_id") % 2 == parity
+            parts += [
+                (F.lit(RDF_TYPE), F.when(own, F.lit(f"{space}CreativeWork")), "iri", None, null, []),
+                (F.lit(f"{space}text"), F.when(own, F.col("text")), "literal", LANG_STRING, F.col("lang"), ["text", "lang"]),
+                (F.lit(f"{space}license"), F.when(own, F.concat(F.lit(f"{BASE}license/"), F.col("lang"))), "iri", None, null, ["lang"]),
+            ]
+    # lineitem alone has no key of its own
+    repeated = repeated_keys(spark, f"{sf_dir}/{name}.parquet", key) if name == "lineitem" else None
+    once, again = (rows, None) if repeated is None else (rows.join(repeated, key, "left_anti"), rows.join(repeated, key, "left_semi"))
     subject = iri(name, *(F.col(k) for k in key)).alias("s")
-    out = rows.select(subject, F.explode(F.array(*terms)).alias("t")).where("t.o is not null")
-    graph = F.lit(f"{BASE}graph/{name}")
-    out = out.select("s", F.lit("iri").alias("s_kind"), "t.*", graph.alias("g"), F.lit(f"{BASE}dataset").alias("dataset")).select(*QUAD_COLUMNS)
-    # lineitem has no key of its own: rows that share one merge, as a set of triples does
-    return out.dropDuplicates(["s", "p", "o", "o_dt"]) if name == "lineitem" else out
+
+    def projected(held: DataFrame, p: Column, o: Column, kind: str, dt: str | None, lang: Column) -> DataFrame:
+        out = held.select(subject, F.lit("iri").alias("s_kind"), p.alias("p"), o.alias("o"), F.lit(kind).alias("o_kind"), F.lit(dt).cast("string").alias("o_dt"), lang.alias("o_lang"), F.lit(f"{BASE}graph/{name}").alias("g"), F.lit(f"{BASE}dataset").alias("dataset"))
+        return out.where("o is not null").select(*QUAD_COLUMNS)
+
+    made = [projected(once, *x[:5]) for x in parts]
+    if again is not None:
+        made += [projected(again.select(*dict.fromkeys([*key, *x[5]])).distinct(), *x[:5]) for x in parts]
+    return reduce(DataFrame.unionByName, made)
 
 
 def quads_from_tables(spark: SparkSession, sf_dir: str, names: list[str] | None = None) -> DataFrame:
-    """The quads of the tables, a set: only lineitem needs a shuffle for that."""
+    """The quads of the tables, a set."""
     return reduce(DataFrame.unionByName, [table_quads(spark, sf_dir, n) for n in names or list(TABLES)])
