@@ -6,15 +6,20 @@ weighted Jaccard similarity of their shingle counts is 0.8 or more; classes
 are the connected components of links, named by their least doc_id.
 
 1. ``sketches``: for each document a hash of its words and the band keys of
-   its DartMinHash signature. Documents of the same words are one text.
+   its DartMinHash signature. Documents of the same words are one text, whose
+   node is the least doc_id of them.
 2. Stars: in each bucket (band and key) every text is checked against the
    bucket's least one, each such pair once. Components of what holds.
 3. The rest: a bucket that still holds texts of several components, beyond the
    pairs checked, is compared in blocks: the texts of two blocks at a time,
    all similarities by one product of incidence matrices. Only links between
    different components come back, one for each text and block at most.
-   Buckets of the same members are compared once.
-4. Components of all links.
+   Buckets of the same members are compared once. In a bucket of more than
+   ``LARGE`` texts only those meet that share one of their rarest shingles: two
+   sets of similarity s share one of the first (1 - s) n + 1 of their n shingles
+   in any order that both have, here by how many of the bucket hold a shingle.
+   So texts that share a template, but not 0.8 of their shingles, rarely meet.
+4. Components of all links, and of texts that one doc_id has.
 
 No pair that shares a bucket is left unchecked unless its texts are in one
 component already, so classes are those of all such pairs. A large group of
@@ -24,7 +29,10 @@ with 0.99996.
 
 Defined results: null and empty texts are copies of each other; a text of
 fewer than five words is one shingle; rows that repeat a doc_id share a class;
-a null doc_id has a null class.
+a null doc_id has a null class; very long texts are hashed a slice of a batch at
+a time; other columns of the table are ignored, or kept by ``drop_near_dups``.
+A bucket's hot key, the least text of many and the centre of a large component
+are joined in as many tasks as their rows need (``spread_join``).
 """
 
 from __future__ import annotations
@@ -36,17 +44,21 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
+from quadloom.llm import workspace
 from quadloom.llm.components import components
 from quadloom.llm.darts import band_keys, sketch, strip_hash
 from quadloom.llm.pieces import slices
-from quadloom.llm.workspace import mapped, materialize
+from quadloom.llm.workspace import mapped, materialize, spread_join
 
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 26, 7
 #: Texts and shingles that a block is planned for, and columns of an incidence matrix.
 BLOCK_TEXTS, BLOCK_SHINGLES, COLUMNS = 256, 1 << 19, 4096
+#: Texts of a bucket beyond which only those that share a rare shingle are compared.
+LARGE = 2048
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -111,8 +123,8 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(blobs, pa.binary())], ["node", "shingles"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # sorted on doc_id at every size, so that one text a doc_id is left without another exchange
-    rows = rows.join(nodes.select(F.col("node").alias("doc_id")).hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    # dealt by doc_id at every size, so that each text of a doc_id is left once without another exchange
+    rows = rows.join(nodes.select(F.col("node").alias("doc_id")).hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return mapped(rows, run, "node long, shingles binary")
 
 
@@ -121,8 +133,9 @@ def _resembling(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     a = sets.select(F.col("node").alias("u"), F.col("shingles").alias("a"))
     b = sets.select(F.col("node").alias("v"), F.col("shingles").alias("b"))
     # numbers alone rule out pairs before their sets are looked at
-    held = pairs.where(F.least("n", "m") >= SIMILARITY * F.greatest("n", "m")).select("u", "v")
-    held = held.join(a, "u").join(b, "v").select("u", "v", "a", "b")
+    held = pairs.where(F.least("n", "m") >= SIMILARITY * F.greatest("n", "m")).select("u", "v").distinct()
+    hot = held.groupBy("v").agg(F.count("*").alias("n")).where(F.col("n") > workspace.HOT_ROWS)  # the least text of many
+    held = spread_join(held.join(a, "u"), b, "v", hot).select("u", "v", "a", "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,6 +225,48 @@ def _in_blocks(rest: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
     return mapped(dealt, run, "u long, v long")
 
 
+def _by_rare_shingles(rest: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of large buckets (key, node, component) smaller ones: the texts that have one shingle among their rarest.
+
+    Two texts of the similarity are in one of them: the order of shingles, by holders in the bucket, is the same for both.
+    """
+
+    def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = np.array([len(x) // 8 for x in batch.column(3).to_pylist()], np.int64)
+            flat = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.int64)
+            at = np.repeat(np.arange(len(sizes)), sizes)
+            for lo in range(0, len(flat), 1 << 16):
+                some = pa.array(at[lo : lo + (1 << 16)])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).take(some) for i in range(3)), pa.array(sizes[at[lo : lo + (1 << 16)]]), pa.array(flat[lo : lo + (1 << 16)])], ["key", "node", "component", "n", "shingle"])
+
+    held = mapped(rest.select("key", "node", "component").join(sets, "node").select("key", "node", "component", "shingles"), apart, "key long, node long, component long, n long, shingle long")
+    held = materialize(held, "shingles")
+    holders = held.groupBy("key", "shingle").agg(F.count("*").alias("holders"))
+    hot = holders.where(F.col("holders") > workspace.HOT_ROWS).select(F.xxhash64("key", "shingle").alias("pair"), F.col("holders").alias("n"))
+    held = spread_join(held.withColumn("pair", F.xxhash64("key", "shingle")), holders.select(F.xxhash64("key", "shingle").alias("pair"), "holders"), "pair", hot)
+    first = F.row_number().over(W.partitionBy("key", "node").orderBy("holders", "pair"))
+    # 1e-9: as many as the similarity needs, whatever the rounding
+    rare = held.withColumn("first", first).where((F.col("first") <= F.col("n") - F.ceil(SIMILARITY * F.col("n") - 1e-9) + 1) & (F.col("holders") > 1))
+    return materialize(rare.select(F.col("pair").alias("key"), "node", "n", "component"), "rare")
+
+
+def _compared(named: DataFrame) -> DataFrame:
+    """Of buckets (key, node, n, component) those of several components, one of each set of members: (key, size, shingles)."""
+    mixed = named.groupBy("key").agg(
+        F.min("component").alias("a"), F.max("component").alias("b"), F.sum("n").alias("shingles"), F.count("*").alias("size"),
+        F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("held"), F.max("node").alias("last"),
+    ).where("a < b")
+    return mixed.groupBy("held", "size", "last").agg(F.min("key").alias("key"), F.first("shingles").alias("shingles")).select("key", "size", "shingles")
+
+
+def _members(named: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(key, node, component, blocks) of the buckets wanted (key, size, shingles)."""
+    blocks = F.greatest(F.ceil(F.col("size") / BLOCK_TEXTS), F.ceil(F.col("shingles") / BLOCK_SHINGLES))
+    hot = wanted.where(F.col("size") > workspace.HOT_ROWS).select("key", F.col("size").alias("n"))
+    return spread_join(named, wanted.select("key", blocks.alias("blocks")), "key", hot).select("key", "node", "component", "blocks")
+
+
 def near_dup_classes(docs: DataFrame) -> DataFrame:
     """(doc_id, class_id) for each row of docs (doc_id, text)."""
     spark = docs.sparkSession
@@ -221,21 +276,25 @@ def near_dup_classes(docs: DataFrame) -> DataFrame:
     texts = materialize(texts, "texts")
     members = texts.select("node", "n", F.explode("bands").alias("key"))
     buckets = members.groupBy("key").agg(F.min(F.struct("node", "n")).alias("first"), F.count("*").alias("size")).where("size > 1")
-    shared = materialize(members.join(buckets, "key").select("key", "node", "n", "size", F.col("first.node").alias("least"), F.col("first.n").alias("m")), "shared")
+    buckets = materialize(buckets, "buckets")
+    hot = buckets.where(F.col("size") > workspace.HOT_ROWS).select("key", F.col("size").alias("n"))
+    shared = materialize(spread_join(members, buckets, "key", hot).select("key", "node", "n", "size", F.col("first.node").alias("least"), F.col("first.n").alias("m")), "shared")
     sets = materialize(shingle_sets(docs, shared.select("node").distinct()), "sets")
     stars = shared.where("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v"), "n", "m").distinct()
-    links = materialize(_resembling(stars, sets), "links")
+    links = _resembling(stars, sets).unionByName(_of_one_document(drawn, texts))
+    links = materialize(links, "links")
     first = materialize(components(links), "components")
 
     named = shared.where("node <> least").join(first.select("node", "component"), "node", "left")
     named = named.select("key", "node", "n", F.coalesce("component", "node").alias("component"))
-    mixed = named.groupBy("key").agg(
-        F.min("component").alias("a"), F.max("component").alias("b"), F.sum("n").alias("shingles"), F.count("*").alias("size"),
-        F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("held"), F.max("node").alias("last"),
-    ).where("a < b")
-    mixed = mixed.groupBy("held", "size", "last").agg(F.min("key").alias("key"), F.first("shingles").alias("shingles"))
-    blocks = F.greatest(F.ceil(F.col("size") / BLOCK_TEXTS), F.ceil(F.col("shingles") / BLOCK_SHINGLES))
-    rest = materialize(named.join(mixed.select("key", blocks.alias("blocks")), "key").select("key", "node", "component", "blocks"), "rest")
+    named = materialize(named, "named")
+    mixed = materialize(_compared(named), "mixed")
+    rest = _members(named, mixed.where(F.col("size") <= LARGE))
+    large = mixed.where(F.col("size") > LARGE)
+    if not large.isEmpty():
+        rare = _by_rare_shingles(_members(named, large), sets)
+        rest = rest.unionByName(_members(rare, _compared(rare)))
+    rest = materialize(rest, "rest")
     if not rest.isEmpty():
         more = materialize(_in_blocks(rest, sets, parts), "links")
         first = materialize(components(links.unionByName(more)), "components")
@@ -245,6 +304,17 @@ def near_dup_classes(docs: DataFrame) -> DataFrame:
     return found.unionByName(lost)
 
 
+def _of_one_document(drawn: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (u, v) between the nodes of the texts that one doc_id has: rows that repeat a doc_id share a class."""
+    several = drawn.groupBy("doc_id").agg(F.min(F.struct("c1", "c2")).alias("a"), F.max(F.struct("c1", "c2")).alias("b"), F.count("*").alias("n")).where("a <> b")
+    several = materialize(several.select("doc_id", "n"), "repeated")
+    held = spread_join(drawn.select("doc_id", "c1", "c2"), several.select("doc_id"), "doc_id", several.where(F.col("n") > workspace.HOT_ROWS))
+    nodes = held.distinct().join(texts.select("c1", "c2", "node"), ["c1", "c2"]).select("doc_id", "node").distinct()
+    least = nodes.groupBy("doc_id").agg(F.min("node").alias("v"), F.count("*").alias("n"))
+    linked = spread_join(nodes, least.select("doc_id", "v"), "doc_id", least.where(F.col("n") > workspace.HOT_ROWS).select("doc_id", "n"))
+    return linked.where("node <> v").select(F.col("node").alias("u"), "v")
+
+
 def drop_near_dups(docs: DataFrame) -> DataFrame:
     """docs with one document of each class: the one whose doc_id names it. A null doc_id stays.
 

@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: The text that goes to a Python worker at once; the session's own setting holds if it is less.
@@ -19,10 +20,12 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one is set only where it is unset."""
+    """The folder named by spark.checkpoint.dir; a temporary one is set only where it is unset and all runs on this machine."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("executors elsewhere need a shared folder: set spark.checkpoint.dir")
         named = tempfile.mkdtemp(prefix="quadloom-")
         sc.setCheckpointDir(named)
     return named.rstrip("/")
@@ -43,6 +46,23 @@ def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> Da
     return out.select(*df.columns)
 
 
+#: Rows of a key beyond which a join deals them, and copies of the other side's row, to several tasks.
+HOT_ROWS = 1 << 20
+
+
+def spread_join(many: DataFrame, one: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """The inner join of many rows a key with one row (or few) a key; hot (key, n): keys with n > HOT_ROWS rows in ``many``.
+
+    hot holds fewer keys than ``many`` has rows by HOT_ROWS, so it is sent everywhere; rows of such a
+    key are dealt by a hash of all their columns to n / HOT_ROWS tasks.
+    """
+    copies = F.broadcast(hot.select(F.col(key), F.ceil(F.col("n") / HOT_ROWS).cast("int").alias("__copies")))
+    plain = [c for c, kind in many.dtypes if not kind.startswith("map")]
+    left = many.join(copies, key, "left").withColumn("__copy", F.pmod(F.xxhash64(*plain), F.coalesce("__copies", F.lit(1)).cast("long")).cast("int")).drop("__copies")
+    right = one.join(copies, key, "left").withColumn("__copy", F.explode(F.sequence(F.lit(0), F.coalesce("__copies", F.lit(1)) - 1))).drop("__copies")
+    return left.join(right, [key, "__copy"]).drop("__copy")
+
+
 def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
     """df through a function of Arrow batches, in batches of bounded bytes; workers give memory back when a partition ends."""
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"

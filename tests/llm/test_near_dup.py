@@ -93,3 +93,33 @@ def test_components_of_paths_stars_and_rings(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{x: 100 for x in range(100, 140)}, 200: 200, 201: 200, 202: 200}
     assert components(spark.createDataFrame([], "u long, v long")).collect() == []
+
+
+def test_rows_that_repeat_a_doc_id_share_a_class(spark):
+    a, b, c = (" ".join(text(i)) for i in (1, 2, 3))
+    data = [(3, a), (5, a), (5, b), (7, b), (8, c), (9, c), (9, None), (10, None), (11, c)]
+    got = {(r.doc_id, r.class_id) for r in N.near_dup_classes(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert got == {(3, 3), (5, 3), (7, 3), (8, 8), (9, 8), (10, 8), (11, 8)}
+
+
+def test_large_buckets_are_compared_by_rare_shingles(spark, monkeypatch):
+    """Look-alikes of one template that are no copies, with near copies among them."""
+    monkeypatch.setattr(N, "LARGE", 8)
+    monkeypatch.setattr(N.workspace, "HOT_ROWS", 16)
+    template = text(9, 150)
+    data = [(i, " ".join(template + text(100 + i, 48))) for i in range(60)]
+    data += [(200 + i, " ".join(edited(template + text(100 + i, 48), 3, i))) for i in range(0, 60, 4)]
+    data += [(300 + i, " ".join(edited(text(7, 200), i % 9, i))) for i in range(40)]
+    got = {r.doc_id: r.class_id for r in N.near_dup_classes(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert got == brute.near_classes(data)
+
+
+def test_joins_of_hot_keys(spark, monkeypatch):
+    from quadloom.llm import workspace
+
+    monkeypatch.setattr(workspace, "HOT_ROWS", 10)
+    many = spark.createDataFrame([(i % 3 if i < 30 else 7, i) for i in range(95)], "k long, x long")
+    one = spark.createDataFrame([(0, "a"), (1, "b"), (7, "c"), (9, "d")], "k long, y string")
+    hot = many.groupBy("k").agg(F.count("*").alias("n")).where("n > 10")
+    got = sorted((r.k, r.x, r.y) for r in workspace.spread_join(many, one, "k", hot).collect())
+    assert got == sorted((r.k, r.x, r.y) for r in many.join(one, "k").collect()) and len(got) == 85
