@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from quadloom.functions.values import now_iso
 from quadloom.operators import quads as Q
 from quadloom.plans import sparql
+from quadloom.plans.tables import checkpointed
 from quadloom.sources.tables import QUAD_COLUMNS, RDF_TYPE, XSD
 
 PROV = "http://www.w3.org/ns/prov#"
@@ -66,11 +67,14 @@ class Stage:
     #: What a failed validation does: "write" all the same, "skip" the subjects at fault, or "halt".
     on_invalid: str = "write"
     expects_output: bool = False
+    #: Whether what was made is described with the times at which its making began and ended.
+    provenance: bool = False
     #: Stages that read what this one made.
     children: tuple[Stage, ...] = ()
 
-    def run(self, quads: DataFrame, dataset: Dataset) -> DataFrame:
-        parts = []
+    def run(self, quads: DataFrame, dataset: Dataset, tell: Callable[..., None] = lambda *what: None) -> DataFrame:
+        """The stage's quads, made and written to the shared folder: what fails at run time fails here."""
+        began, parts = now_iso(), []
         for reader in self.readers:
             try:
                 parts.append(reader(quads, dataset))
@@ -81,18 +85,21 @@ class Stage:
         out = reduce(DataFrame.unionByName, parts)
         for transform in (*self.transforms, *self.before_write):
             out = transform(out, dataset)
-        if self.validator and self.on_invalid != "write":
-            faults = self.validator(out, dataset)
-            if self.on_invalid == "halt":
-                if not faults.isEmpty():
+        out = checkpointed(out)
+        if self.validator:
+            faults = checkpointed(self.validator(out, dataset))
+            if n := faults.count():
+                tell("invalid", dataset.iri, self.name, n)
+                if self.on_invalid == "halt":
                     raise ValueError(f"stage {self.name}: the output is not valid")
-            else:
-                out = out.join(faults.select(F.col("focus").alias("s")).distinct(), "s", "left_anti").select(*out.columns)
+                if self.on_invalid == "skip":
+                    out = out.join(faults.select(F.col("focus").alias("s")).distinct(), "s", "left_anti").select(*out.columns)
         if self.expects_output and out.isEmpty():
             raise ValueError(f"stage {self.name}: no output")
-        for child in self.children:
-            out = out.unionByName(child.run(out, dataset))
-        return out
+        made = [child.run(out, dataset, tell) for child in self.children]
+        if self.provenance:
+            out = provenance(self.name, began)(out, dataset)
+        return reduce(DataFrame.unionByName, made, out)
 
 
 def provenance(stage: str, started: str | None = None) -> Transform:
@@ -213,7 +220,7 @@ class Pipeline:
         parts = []
         for stage in self.stages:
             try:
-                parts.append(stage.run(quads, dataset))
+                parts.append(stage.run(quads, dataset, self.reporter.tell))
                 self.reporter.tell("stage", dataset.iri, stage.name)
             except NotSupported:
                 self.reporter.tell("stage_skipped", dataset.iri, stage.name)

@@ -2,29 +2,48 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names; a temporary one only where none is named."""
+    """The folder that the cluster names; a temporary one only where none is named and all runs on this machine."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("executors elsewhere need a shared folder: set spark.checkpoint.dir")
         named = tempfile.mkdtemp(prefix="quadloom-")
         sc.setCheckpointDir(named)
     return named.rstrip("/")
 
 
+_steps: list[tuple[SparkSession, str]] = []
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read again."""
+    """df written to the shared folder and read again; the folder goes when the driver ends."""
     path = f"{shared_dir(df.sparkSession)}/quadloom/step-{uuid.uuid4().hex}"
+    _steps.append((df.sparkSession, path))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _remove_steps() -> None:
+    for spark, path in _steps:
+        try:
+            Files(spark).delete(path)
+        except Exception:  # the session has ended; the folder's owner cleans up
+            return
+
+
+atexit.register(_remove_steps)
+
+
 class Files:
     """The few file operations that commits need, on whatever store a path names."""
 
@@ -43,14 +62,30 @@ class Files:
         fs, where = self._at(path)
         return sorted(x.getPath().getName() for x in fs.listStatus(where)) if fs.exists(where) else []
 
-    def create(self, path: str) -> bool:
-        """Make an empty file; False if it was there."""
+    def create(self, path: str, text: str = "") -> bool:
+        """Make a file; False if it was there."""
         fs, where = self._at(path)
-        if fs.exists(where):
-            return False
-        fs.create(where, False).close()
+        try:
+            out = fs.create(where, False)
+        except Py4JJavaError:
+            if fs.exists(where):
+                return False
+            raise
+        out.write(bytearray(text.encode()))
+        out.close()
         return True
 
+    def text(self, path: str) -> str | None:
+        """A small file's text; None if there is none."""
+        fs, where = self._at(path)
+        if not fs.exists(where):
+            return None
+        held = fs.open(where)
+        try:
+            return bytes(held.readAllBytes()).decode()
+        finally:
+            held.close()
+
     def age_seconds(self, path: str) -> float:
         import time
 
@@ -58,10 +93,22 @@ class Files:
         return time.time() - fs.getFileStatus(where).getModificationTime() / 1000
 
     def rename(self, old: str, new: str) -> None:
+        """One folder in place of another, which is set aside until the new one stands."""
         fs, where = self._at(old)
-        fs.delete(self._at(new)[1], True)
-        if not fs.rename(where, self._at(new)[1]):
+        target, aside = self._at(new)[1], self._at(f"{new}._old-{uuid.uuid4().hex[:8]}")[1]
+        had = fs.exists(target)
+        if had and not fs.rename(target, aside):
+            raise OSError(f"{new} could not be set aside")
+        if not fs.rename(where, target):
+            if had:
+                fs.rename(aside, target)
             raise OSError(f"{old} could not become {new}")
+        if had:
+            fs.delete(aside, True)
+
+    def move(self, old: str, new: str) -> bool:
+        fs, where = self._at(old)
+        return fs.rename(where, self._at(new)[1])
 
     def delete(self, path: str) -> None:
         fs, where = self._at(path)

@@ -1,7 +1,8 @@
 """Writers: all-or-nothing runs over files, tables and search indexes.
 
-A run opens, writes dataset by dataset, flushes each with its outcome, and
-commits or aborts; reset takes back one dataset's rows of this run.
+A run opens, writes dataset by dataset, as often as it likes, flushes each with
+its outcome, and commits or aborts; reset takes back one dataset's rows of this
+run. What is written is staged first: nothing that was there changes before commit.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadloom.operators.quads import serialize
+from quadloom.operators.quads import dedupe, serialize
 from quadloom.plans.tables import Files
 
 
@@ -49,12 +50,14 @@ class VersionedTable:
 class QuadFileWriter:
     """One folder of N-Triples or N-Quads lines for each dataset, swapped in when the run commits; empty output leaves none."""
 
-    def __init__(self, spark: SparkSession, path: str, quads: bool = False, graph: str | None = None):
-        self.files, self.path, self.quads, self.graph, self.staged = Files(spark), path.rstrip("/"), quads, graph, {}
+    def __init__(self, spark: SparkSession, path: str, quads: bool = False, graph: str | None = None, keep_partial: bool = False):
+        """keep_partial: what a dataset's other stages made is kept where one of them failed."""
+        self.files, self.path, self.quads, self.graph, self.staged, self.keep_partial = Files(spark), path.rstrip("/"), quads, graph, {}, keep_partial
 
     @staticmethod
     def folder(dataset: str) -> str:
-        return "".join(c if c.isalnum() or c in "-." else "_" for c in dataset)
+        """A name of its own for each dataset: what may not stand in one is escaped, as _ is, by its code points."""
+        return "".join(c if c.isascii() and c.isalnum() or c in "-." else f"_{ord(c):x}_" for c in dataset)
 
     def open(self, datasets: list[str]) -> None:
         self.run, self.staged = uuid.uuid4().hex, {}
@@ -63,11 +66,11 @@ class QuadFileWriter:
         if self.graph is not None:
             quads = quads.withColumn("g", F.lit(self.graph))
         staged = f"{self.path}/_run-{self.run}/{self.folder(dataset)}"
-        serialize(quads, self.quads).write.mode("overwrite").text(staged)
+        serialize(quads, self.quads).write.mode("append").text(staged)
         self.staged[dataset] = staged
 
     def flush(self, dataset: str, ok: bool) -> None:
-        if not ok:
+        if not ok and not self.keep_partial:
             self.reset(dataset)
 
     def reset(self, dataset: str) -> None:
@@ -88,28 +91,41 @@ class QuadFileWriter:
 
 
 class GraphTableWriter:
-    """A table of quads partitioned by graph: a run clears the graphs that it writes, and no others."""
+    """A table of quads partitioned by graph. A commit replaces the graphs that the run wrote, each by all rows that
+    any dataset wrote to it, and no others; graphs of a run without rows stay as they were."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path, self.written = spark, path, []
+        self.spark, self.path, self.files, self.staged = spark, path.rstrip("/"), Files(spark), {}
 
     def open(self, datasets: list[str]) -> None:
-        self.written = []
+        self.run, self.staged = uuid.uuid4().hex, {}
 
     def write(self, dataset: str, quads: DataFrame) -> None:
-        quads.withColumn("g", F.coalesce("g", F.lit(dataset))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("g").parquet(self.path)
-        self.written.append(dataset)
+        staged = f"{self.path}/_run-{self.run}/{QuadFileWriter.folder(dataset)}"
+        quads.withColumn("g", F.coalesce("g", F.lit(dataset))).write.mode("append").parquet(staged)
+        self.staged[dataset] = staged
 
     def flush(self, dataset: str, ok: bool) -> None:
-        pass
+        if not ok:
+            self.reset(dataset)
 
     def reset(self, dataset: str) -> None:
-        pass
+        if dataset in self.staged:
+            self.files.delete(self.staged.pop(dataset))
 
     def commit(self) -> None:
-        pass
+        if self.staged:
+            rows = self.spark.read.parquet(*self.staged.values())
+            # a triple that two datasets wrote to one graph is one; partitions are swapped when the job commits
+            dedupe(rows).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("g").parquet(self.path)
+        self.abort()
+
+    def abort(self) -> None:
+        self.files.delete(f"{self.path}/_run-{self.run}")
+        self.staged = {}
 
-    abort = abandon = commit
+    def abandon(self) -> None:
+        self.staged = {}
 
 
 class Tee:
@@ -169,19 +185,28 @@ def sweep(rows: DataFrame, selected: DataFrame, finished: DataFrame, run: str) -
 
 
 class IndexLock:
-    """One run at a time on an index: a marker that a later run takes over after its time."""
+    """One run at a time on an index: a file that names its owner, which a later run takes over after its time.
+
+    A stale lock is set aside by a rename, which only one of several runs can do; the file is then made
+    by one of them alone. Only its owner releases a lock.
+    """
 
     def __init__(self, spark: SparkSession, path: str, ttl_seconds: float = 600):
-        self.files, self.path, self.ttl = Files(spark), f"{path.rstrip('/')}/_lock", ttl_seconds
+        self.files, self.path, self.ttl, self.owner = Files(spark), f"{path.rstrip('/')}/_lock", ttl_seconds, uuid.uuid4().hex
 
     def acquire(self) -> None:
         if self.files.exists(self.path) and self.files.age_seconds(self.path) > self.ttl:
-            self.files.delete(self.path)
-        if not self.files.create(self.path):
+            self.files.move(self.path, f"{self.path}-stale-{self.owner}")
+            self.files.delete(f"{self.path}-stale-{self.owner}")
+        if not self.files.create(self.path, self.owner):
             raise RuntimeError("another run holds the index")
 
+    def held(self) -> bool:
+        return self.files.text(self.path) == self.owner
+
     def release(self) -> None:
-        self.files.delete(self.path)
+        if self.held():
+            self.files.delete(self.path)
 
 
 class IndexWriter:
@@ -197,12 +222,14 @@ class IndexWriter:
 
     def open(self, sources: list[str]) -> None:
         self.lock.acquire()
-        self.run, self.sources, self.parts, self.finished = uuid.uuid4().hex, sources, {}, []
+        self.run, self.sources, self.parts, self.finished, self.written = uuid.uuid4().hex, sources, {}, [], 0
 
     def write(self, source: str, documents: DataFrame) -> None:
-        staged = f"{self.table.path}/_run-{self.run}/{len(self.parts)}"
-        documents.withColumns({"source": F.lit(source), "last_seen": F.lit(self.run)}).write.parquet(staged)
-        self.parts[source] = staged
+        """Documents of a source; of one id in several writes the later one holds, of one write the least row."""
+        staged = f"{self.table.path}/_run-{self.run}/{self.written}"
+        documents.withColumns({"source": F.lit(source), "last_seen": F.lit(self.run), "__seq": F.lit(self.written)}).write.parquet(staged)
+        self.parts.setdefault(source, []).append(staged)
+        self.written += 1
 
     def flush(self, source: str, ok: bool) -> None:
         if ok:
@@ -211,15 +238,25 @@ class IndexWriter:
             self.reset(source)
 
     def reset(self, source: str) -> None:
-        if source in self.parts:
-            self.table.files.delete(self.parts.pop(source))
+        for staged in self.parts.pop(source, []):
+            self.table.files.delete(staged)
+
+    def _new(self) -> DataFrame:
+        paths = [p for parts in self.parts.values() for p in parts]
+        rows = self.spark.read.option("mergeSchema", "true").parquet(*paths)
+        plain = [c for c, kind in rows.dtypes if c != "__seq" and not kind.startswith("map")]
+        # the later write first, then the row's own text, so that the same row wins in every run
+        order = F.struct("__seq", F.xxhash64(*plain))
+        rest = [c for c in rows.columns if c != "id"]
+        return rows.groupBy("id").agg(F.max_by(F.struct(*rest), order).alias("r")).select("id", "r.*").drop("__seq")
 
     def commit(self) -> None:
         try:
+            if not self.lock.held():
+                raise RuntimeError("another run has taken the index over")
             old = self.table.read()
             if self.parts:
-                new = self.spark.read.option("mergeSchema", "true").parquet(*self.parts.values())
-                new = last_wins(new, "id", "source") if len(self.parts) > 1 else new.dropDuplicates(["id"])
+                new = self._new()
             elif old is None:
                 return
             else:
@@ -240,13 +277,22 @@ class IndexWriter:
 
 
 class SchemaIndexWriter:
-    """A writer of documents of several types: one lane a type, opened and committed so that what is referred to comes first."""
+    """A writer of documents of several types, one lane a type.
+
+    components: types that joins connect, each set with what is referred to first; lanes open in that
+    order. Each component commits on its own, what refers before what it refers to, and stops at its
+    first failure; the other components still commit, then the failures are raised together. Lanes that
+    did not commit are aborted and keep what they had.
+    """
 
-    def __init__(self, order: list[list[str]], lanes: dict[str, IndexWriter]):
-        self.lanes = [lanes[name] for component in order for name in component if name in lanes]
-        self.by_type = lanes
+    def __init__(self, components: list[list[str]], lanes: dict[str, IndexWriter]):
+        named = {name for component in components for name in component}
+        self.components = [[lanes[n] for n in component if n in lanes] for component in components] + [[lane] for n, lane in lanes.items() if n not in named]
+        self.lanes = [lane for component in self.components for lane in component]
+        self.by_type, self.live = lanes, []
 
     def open(self, sources: list[str]) -> None:
+        self.live = []
         Tee(self.lanes).open(sources)
 
     def write(self, source: str, documents: dict[str, DataFrame]) -> None:
@@ -262,12 +308,22 @@ class SchemaIndexWriter:
             lane.reset(source)
 
     def commit(self) -> None:
-        for lane in self.lanes:
-            lane.commit()
+        failures: list[Exception] = []
+        for component in self.components:
+            try:
+                for lane in reversed(component):
+                    lane.commit()
+                    self.live.append(lane)
+            except Exception as e:
+                failures.append(e)
+        if failures:
+            self.abort()
+            raise ExceptionGroup("some types were not committed", failures)
 
     def abort(self) -> None:
         for lane in self.lanes:
-            lane.abort()
+            if lane not in self.live:
+                lane.abort()
 
     def abandon(self) -> None:
         pass

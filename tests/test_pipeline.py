@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,10 +65,25 @@ def test_runs_are_gated_and_all_or_nothing(spark, tmp_path):
 
 def test_graph_table_and_tee(spark, tmp_path):
     table = GraphTableWriter(spark, str(tmp_path / "t"))
+    held = lambda: {r.g: r["count"] for r in spark.read.parquet(str(tmp_path / "t")).groupBy("g").count().collect()}
+    table.open([])
     table.write("urn:g1", source(spark))
     table.write("urn:g2", source(spark))
+    table.write("urn:g1", source(spark).limit(1))  # a second write adds to the first
+    table.write("urn:d3", source(spark).limit(1).withColumn("g", F.lit("urn:g2")))  # another dataset adds to the same graph
+    table.commit()
+    assert held() == {"urn:g1": 3, "urn:g2": 3}
+    table.open([])
     table.write("urn:g1", source(spark).limit(1))
-    assert {r.g: r["count"] for r in spark.read.parquet(str(tmp_path / "t")).groupBy("g").count().collect()} == {"urn:g1": 1, "urn:g2": 3}
+    table.write("urn:g2", source(spark).limit(1))
+    assert held() == {"urn:g1": 3, "urn:g2": 3}  # nothing changes before commit
+    table.flush("urn:g2", False)
+    table.commit()
+    assert held() == {"urn:g1": 1, "urn:g2": 3}
+    table.open([])
+    table.write("urn:g1", source(spark))
+    table.abort()
+    assert held() == {"urn:g1": 1, "urn:g2": 3}
 
     class Broken:
         aborted = False
@@ -123,8 +140,11 @@ def test_index_rebuild_keeps_the_old_until_it_is_done(spark, tmp_path):
     lock.acquire()
     with pytest.raises(RuntimeError):
         index.open(["s"])
-    IndexLock(spark, str(tmp_path / "i"), ttl_seconds=-1).acquire()
-    lock.release()
+    other = IndexLock(spark, str(tmp_path / "i"), ttl_seconds=-1)
+    other.acquire()
+    lock.release()  # it belongs to another now
+    assert other.held() and not lock.held()
+    other.release()
     two = SchemaIndexWriter([["B", "A"]], {"A": index, "B": IndexWriter(spark, str(tmp_path / "j"))})
     two.open(["s"])
     two.write("s", {"A": docs(spark, ("1", 9)), "B": docs(spark, ("2", 8))})
@@ -164,3 +184,59 @@ def test_shapes(spark):
     found = shapes.violations(t, shape)
     assert sorted((r.focus[-1], r.constraint, r.severity) for r in found.collect()) == [("1", "pattern", "Info"), ("2", "class", "Warning"), ("2", "datatype", "Violation"), ("2", "pattern", "Info")]
     assert tuple(shapes.conforms(found).first()) == (False, 4, 1) and shapes.conforms(found.limit(0)).first().conforms
+
+
+def test_several_writes_of_one_source(spark, tmp_path):
+    index = IndexWriter(spark, str(tmp_path / "i"))
+    index.open(["s", "t"])
+    index.write("s", docs(spark, ("1", 1), ("2", 1)))
+    index.write("s", docs(spark, ("2", 2), ("3", 2)))
+    index.write("t", docs(spark, ("3", 3), ("4", 3), ("4", 3)))
+    index.commit()
+    assert sorted((r.id, r.v, r.source) for r in index.table.read().collect()) == [("1", 1, "s"), ("2", 2, "s"), ("3", 3, "t"), ("4", 3, "t")]
+    files = QuadFileWriter(spark, str(tmp_path / "q"))
+    files.open([])
+    for dataset in ("http://x/a", "http://x_a", "http://x/a"):
+        files.write(dataset, source(spark).limit(2))
+    files.commit()
+    assert len(lines(tmp_path / "q", "http://x/a")) == 4 and len(lines(tmp_path / "q", "http://x_a")) == 2
+
+
+def test_a_lane_that_fails_leaves_no_lock(spark, tmp_path):
+    lanes = {name: IndexWriter(spark, str(tmp_path / name)) for name in "ABCD"}
+    writer = SchemaIndexWriter([["B", "C"], ["A"]], lanes)  # C refers to B
+    writer.open(["s"])
+    writer.write("s", {name: docs(spark, ("1", 1)) for name in "ABCD"})
+    lanes["C"].table.write = lambda rows: (_ for _ in ()).throw(OSError("full"))
+    with pytest.raises(ExceptionGroup):
+        writer.commit()
+    assert lanes["A"].table.read().count() == 1 and lanes["D"].table.read().count() == 1 and lanes["B"].table.read() is None
+    assert not any(lane.table.files.exists(lane.lock.path) for lane in lanes.values())
+
+
+def test_a_stage_that_fails_at_run_time_costs_only_itself(spark, tmp_path):
+    broken = lambda quads, dataset: quads.withColumn("o", F.raise_error(F.concat(F.lit("no "), F.col("o"))).cast("string"))
+    writer = QuadFileWriter(spark, str(tmp_path / "out"))
+    pipeline = Pipeline("p", (Stage("broken", (sparql_reader(COPY),), (broken,)), Stage("copy", (sparql_reader(COPY),))))
+    pipeline.run([Dataset("urn:one")], lambda d: source(spark), writer)
+    assert [e[0] for e in pipeline.reporter.events] == ["stage_failed", "stage"]
+    kept = QuadFileWriter(spark, str(tmp_path / "kept"), keep_partial=True)
+    Pipeline("p", pipeline.stages).run([Dataset("urn:one")], lambda d: source(spark), kept)
+    assert len(lines(tmp_path / "kept", "urn:one")) == 3
+
+
+def test_validation_reports_and_writes(spark, tmp_path):
+    faults = lambda quads, dataset: quads.limit(1).select(F.col("s").alias("focus"))
+    for mode, n in (("write", 3), ("skip", 0)):
+        writer = QuadFileWriter(spark, str(tmp_path / mode))
+        pipeline = Pipeline("p", (Stage("copy", (sparql_reader(COPY),), validator=faults, on_invalid=mode),))
+        pipeline.run([Dataset("urn:one")], lambda d: source(spark), writer)
+        assert ("invalid", "urn:one", "copy", 1) in pipeline.reporter.events
+
+
+def test_activity_times_are_around_the_work(spark, tmp_path):
+    slow = lambda quads, dataset: (time.sleep(1.1), quads)[1]
+    stage = Stage("copy", (sparql_reader(COPY),), (slow,), provenance=True)
+    out = stage.run(source(spark), Dataset("urn:one")).where(F.col("p").endswith("AtTime")).collect()
+    times = {r.p.rpartition("#")[2]: r.o for r in out}
+    assert len(times) == 2 and times["startedAtTime"] < times["endedAtTime"]
