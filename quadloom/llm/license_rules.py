@@ -11,7 +11,8 @@ priority, weight); the keyword must occur for the pattern to be tried.
 
 from __future__ import annotations
 
-import re
+import re._constants as _sre
+import re._parser as _parser
 from typing import NamedTuple
 
 
@@ -33,7 +34,7 @@ NAMES = [
     ("apache-2.0", "apache", f"apache(?: software)?(?: {_LICENSE})?{_VERSION} ?2(?: 0)?"),
     ("apache", "apache", f"apache(?: software)? {_LICENSE}"),
     ("mit", "mit", f"(?:expat|mit(?: x11)?) {_LICENSE}"),
-    ("mit-0", "mit", "mit(?: no attribution| 0)"),
+    ("mit-0", "mit", "mit no attribution"),
     ("x11", "x11", f"x11 {_LICENSE}"),
     ("bsd-2-clause", "bsd", f"(?:simplified|freebsd|2 clause|two clause)(?: bsd)? {_LICENSE}|bsd 2 clause(?: {_LICENSE})?"),
     ("bsd-3-clause", "bsd", f"(?:new|modified|revised|3 clause|three clause) bsd(?: {_LICENSE})?|bsd 3 clause(?: {_LICENSE})?"),
@@ -362,7 +363,7 @@ dual | dual licensed under (?:the )?(?:mit and gpl|gpl and mit)(?: licenses)? |
 either | licensed under either of apache license version 2 0 or mit license | apache-2.0-or-mit | 48
 """
 #: Words that most rules hold; of the others the keyword itself tells whether a text may hold them.
-GENERAL = ["licen", "software", "copyright", "permission", "public", "agree", "commons", "reserved", "redistribut", "warrant", "purposes", "written"]
+GENERAL = ["licen", "software", "copyright", "permission", "public", "agree", "commons", "reserved", "redistribut", "warrant", "attribution", "purposes", "written"]
 
 
 def _names() -> list[tuple[str, str, str]]:
@@ -390,22 +391,35 @@ def rules() -> list[Rule]:
     return made + _signatures()
 
 
-def _alternatives(pattern: str) -> list[str]:
-    """What each alternative of a pattern surely holds: its text without groups and wildcards."""
-    inner = pattern.removeprefix("(?:").removesuffix(")") if pattern.startswith("(?:") and pattern.endswith(")") and "(?:" not in pattern[3:] else pattern
-    while (less := re.sub(r"\(\?:[^()]*\)\??", "\x00", inner)) != inner:
-        inner = less
-    inner = re.sub(r"\.\{\d+,\d+\}\??|\[[^\]]*\]\??|.\?", "\x00", inner)
-    return inner.split("|")
+def _holds(parsed, word: str) -> bool:
+    """Whether every match of a parsed pattern surely contains a word."""
+    run = ""
+    for op, value in parsed:
+        if op is _sre.LITERAL:
+            run += chr(value)
+            if word in run:
+                return True
+            continue
+        run = ""
+        if op is _sre.SUBPATTERN and _holds(value[3], word):
+            return True
+        if op is _sre.BRANCH and all(_holds(x, word) for x in value[1]):
+            return True
+        if op in (_sre.MAX_REPEAT, _sre.MIN_REPEAT) and value[0] > 0 and _holds(value[2], word):
+            return True
+    return False
 
 
 def gates() -> list[str]:
     """A text without any of these holds no rule's match."""
     out = list(GENERAL)
     for r in rules():
-        sure = any(g in r.keyword for g in out) or all(any(g in x for g in out) for x in _alternatives(r.pattern))
-        if not sure:
-            out.append(r.keyword)
+        parsed = _parser.parse(r.pattern)
+        if any(g in f" {r.keyword} " or _holds(parsed, g.strip()) for g in GENERAL) or r.keyword in out or f" {r.keyword} " in out:
+            continue
+        # a name that stands alone is a word of its own, so that it is not found within others
+        alone = f" {r.keyword} "
+        out.append(alone if _holds(_parser.parse(f" (?:{r.pattern}) "), alone) else r.keyword)
     return out
 
 
