@@ -26,8 +26,11 @@ def _fold(text: pd.Series) -> pd.Series:
 
 
 def fold(text: Column) -> Column:
-    """fold_text of a column. ASCII needs only lower case and stays in the JVM's own code where a text is split by it."""
-    return _fold(text)
+    """fold_text of a column. Western letters are folded in the JVM; only texts that still hold others go to Python."""
+    western = fold_western(text)
+    other = ~western.rlike(r"\A\p{ASCII}*\z")
+    # a null is passed by: the Python side sees no text of those that need it not
+    return F.when(other, _fold(F.when(other, text))).otherwise(western)
 
 
 #: Accented letters of western European languages and what folding makes of them; the rest is left to fold.

@@ -6,7 +6,7 @@ import re
 from datetime import UTC, datetime
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
@@ -133,3 +133,16 @@ def is_sparql(media_type: Column, conforms_to: Column) -> Column:
 
 def now_iso() -> str:
     return datetime.now(UTC).isoformat(timespec="milliseconds").replace("+00:00", "Z")
+
+
+def most_recent(*dates: Column) -> Column:
+    """The latest of several ISO dates; those that are no dates do not count."""
+    at = [F.struct(d.try_cast("timestamp").alias("t"), d.alias("d")) for d in dates]
+    held = F.filter(F.array(*at), lambda x: x["t"].isNotNull())
+    return F.array_max(held)["d"]
+
+
+def first_by_path(rows: DataFrame, order: str = "ord") -> DataFrame:
+    """Properties (path, …) merged by path: of each column the first value in order that is not null."""
+    rest = [c for c in rows.columns if c not in ("path", order)]
+    return rows.groupBy("path").agg(*(F.min_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in rest))

@@ -79,3 +79,81 @@ def classify_manifests(bodies: DataFrame) -> DataFrame:
         .otherwise(F.when(F.contains(context, F.lit("presentation/3")), "manifest-3").otherwise("manifest-2"))
     )
     return bodies.select("url", outcome.alias("outcome"))
+
+
+class ObservationStore:
+    """Observations (monitor, observed_at, …) kept as a table that only grows; the newest of each monitor is a query."""
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def add(self, observations: DataFrame) -> None:
+        observations.write.mode("append").parquet(self.path)
+
+    def latest(self, spark) -> DataFrame:
+        return latest(spark.read.parquet(self.path))
+
+
+def probe_observations(probes: DataFrame, observed_at: str) -> DataFrame:
+    """Probe results (monitor, success, status, seconds) as observations at a time."""
+    message = F.when(~F.col("success"), F.coalesce(F.concat(F.lit("HTTP "), F.col("status").cast("string")), F.lit("network error")))
+    return probes.select("monitor", F.lit(observed_at).cast("timestamp").alias("observed_at"), "success", "seconds", message.alias("error"))
+
+
+def probe(distributions: DataFrame, fetch, per_host: int = 4) -> DataFrame:
+    """distributions (…, url) with success, status, seconds and a body's first bytes, by ``fetch(url) -> (status, body)``.
+
+    Each host's urls go to ``per_host`` tasks at most, so no host is asked by more at once; rows keep
+    their own order column, if they have one. A fetch that raises is a network error: no status.
+    """
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    rows = distributions.withColumns({"__host": F.parse_url(F.col("url"), F.lit("HOST")), "__lane": F.pmod(F.xxhash64("url"), F.lit(per_host))})
+    names = distributions.columns
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import time
+
+        for batch in batches:
+            found = []
+            for url in batch["url"]:
+                began = time.monotonic()
+                try:
+                    status, body = fetch(url)
+                except Exception:  # whatever the network says
+                    status, body = None, None
+                found.append((status is not None and 200 <= status < 300, status, time.monotonic() - began, body))
+            made = pd.DataFrame(found, columns=["success", "status", "seconds", "body"], index=batch.index)
+            yield pd.concat([batch[names], made.astype({"status": "Int32"})], axis=1)
+
+    schema = distributions.schema.simpleString()[7:-1]
+    return rows.repartition("__host", "__lane").select(*names).mapInPandas(run, f"{schema}, success:boolean, status:int, seconds:double, body:binary".replace("struct<", ""))
+
+
+def file_fetch(bound: int = 256 << 10, timeout: float = 5.0):
+    """A fetch by urllib: the status and at most ``bound`` bytes."""
+
+    def fetch(url: str) -> tuple[int, bytes]:
+        from urllib.request import urlopen
+
+        with urlopen(url, timeout=timeout) as held:
+            return getattr(held, "status", None) or 200, held.read(bound)
+
+    return fetch
+
+
+def import_plan(distributions: DataFrame, strategy: str) -> DataFrame:
+    """(dataset, how, url): of probed distributions (dataset, idx, url, sparql, success) what a strategy takes.
+
+    sparql: the first working endpoint; import: the first working dump; sparqlWithImportFallback: a working
+    endpoint, else a dump. A dataset without any has no row.
+    """
+    if strategy not in ("sparql", "import", "sparqlWithImportFallback"):
+        raise ValueError(f"no strategy {strategy!r}")
+    held = distributions.where("success").withColumn("how", F.when(F.col("sparql"), "sparql").otherwise("import"))
+    if strategy != "sparqlWithImportFallback":
+        held = held.where(F.col("how") == strategy)
+    first = F.struct((F.col("how") == "import").alias("later"), "idx")
+    return held.groupBy("dataset").agg(F.min_by(F.struct("how", "url"), first).alias("x")).select("dataset", "x.*")

@@ -80,6 +80,29 @@ def serialize(quads: DataFrame, graph: bool = False) -> DataFrame:
     return quads.select(F.concat(F.concat_ws(" ", *parts), F.lit(" .")).alias("value"))
 
 
+def turtle(quads: DataFrame, prefixes: dict[str, str] | None = None) -> DataFrame:
+    """(s, value): Turtle, one block a subject; prefixes (name: namespace) stand first in each file that is made of it."""
+    def short(iri: Column) -> Column:
+        out = F.when(F.lit(False), iri)
+        for name, space in (prefixes or {}).items():
+            local = F.substring(iri, len(space) + 1, 1 << 30)
+            out = out.when(iri.startswith(space) & local.rlike(r"^[A-Za-z_][A-Za-z0-9_-]*$"), F.concat(F.lit(f"{name}:"), local))
+        return out.otherwise(F.concat(F.lit("<"), iri, F.lit(">")))
+
+    from quadloom.sources.tables import RDF_TYPE
+
+    p = F.when(F.col("p") == RDF_TYPE, "a").otherwise(short(F.col("p")))
+    o = F.when(F.col("o_kind") == "iri", short(F.col("o"))).otherwise(term_text(F.col("o"), F.col("o_kind"), F.col("o_dt"), F.col("o_lang")))
+    s = F.when(F.col("s_kind") == "bnode", F.concat(F.lit("_:"), F.col("s"))).otherwise(short(F.col("s")))
+    rows = quads.select(s.alias("s"), p.alias("p"), o.alias("o")).distinct()
+    each = rows.groupBy("s", "p").agg(F.array_join(F.array_sort(F.collect_list("o")), ", ").alias("os"))
+    return each.groupBy("s").agg(F.concat(F.col("s"), F.lit(" "), F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", "p", "os"))), " ;\n    "), F.lit(" .")).alias("value"))
+
+
+def turtle_head(prefixes: dict[str, str]) -> str:
+    return "".join(f"@prefix {name}: <{space}> .\n" for name, space in prefixes.items())
+
+
 def skolemize(quads: DataFrame) -> DataFrame:
     """Blank nodes become IRIs under their dataset: a fingerprint of its blank triples, then the label.
 

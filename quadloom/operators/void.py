@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadloom.operators.quads import canonical_iri
-from quadloom.sources.tables import RDF_TYPE
+from quadloom.sources.tables import RDF_TYPE, TERM_COLUMNS
 
+VOID, VOID_EXT = "http://rdfs.org/ns/void#", "http://ldf.fi/void-ext#"
 WELL_KNOWN = "/.well-known/void#"
 SCHEMA_ORG = {"http://schema.org/": "https://schema.org/"}
 #: Fixed predicates that state a license.
@@ -148,3 +149,53 @@ def merge_variants(partitions: DataFrame, keys: list[str], measures: list[str],
     """
     canonical = partitions.withColumns({k: canonical_iri(F.col(k), aliases) for k in keys})
     return canonical.groupBy(*keys).agg(*(F.sum(F.coalesce(F.col(m).try_cast("bigint"), F.lit(0))).alias(m) for m in measures))
+
+
+def statistics(t: DataFrame, top: int | None = None) -> dict[str, DataFrame]:
+    """All statistics of a table of triples, by name, from one stored set of them.
+
+    The triples are written once as a set, dealt by subject, and once with each of their subject's
+    classes; every statistic reads one of the two.
+    """
+    from quadloom.plans.tables import checkpointed
+
+    t = checkpointed(t.select(*TERM_COLUMNS).repartition("s").distinct())
+    by_class = checkpointed(t.join(types(t), "s"))
+    pairs = by_class.groupBy("class", "p")
+    literals = by_class.where("o_kind = 'literal'")
+    tagged = literals.where("o_lang <> ''").select("class", "p", "o", F.col("o_lang").alias("language")).distinct()
+    objects = types(t).select(F.col("s").alias("o"), F.col("class").alias("object_class"))
+    return {
+        "triples": triples(t), "subjects": subjects(t), "properties": properties(t), "object_literals": object_literals(t), "object_uris": object_uris(t), "datatypes": datatypes(t),
+        "class_partitions": class_partitions(t), "entity_properties": entity_properties(t), "licenses": licenses(t),
+        "subject_uri_spaces": subject_uri_spaces(t), "object_uri_spaces": object_uri_spaces(t, top),
+        "class_property_subjects": by_class.select("class", "p", "s").distinct().groupBy("class", "p").agg(F.count("*").alias("entities")),
+        "class_property_objects": pairs.agg(F.count_distinct(_object_key()).alias("distinct_objects")),
+        "class_property_datatypes": literals.groupBy("class", "p", F.col("o_dt").alias("datatype")).agg(F.count("*").alias("triples")),
+        "class_property_languages": tagged.groupBy("class", "p", "language").agg(F.count("*").alias("triples")),
+        "class_property_object_classes": by_class.where("o_kind = 'iri'").select("class", "p", "o").join(objects, "o").groupBy("class", "p", "object_class").agg(F.count("*").alias("triples")),
+    }
+
+
+def partition_chain(found: DataFrame, dataset: str, measure: str, leaf: str | None = None, aliases: dict[str, str] | None = None) -> DataFrame:
+    """Quads of partitions (class, p, leaf column if given, measure) under a dataset: each class partition, in it each
+    property partition, in that each of the leaf's. With aliases, partitions of spellings of one IRI are merged first and
+    every IRI of the chain is minted from the merged keys.
+    """
+    from quadloom.operators.quads import construct
+
+    keys = ["class", "p", *([leaf] if leaf else [])]
+    merged = merge_variants(found, keys, [measure], aliases or {}) if aliases else found
+    c, p = F.col("class"), F.col("p")
+    of_class, of_property = mint(dataset, "class", c), mint(dataset, "class-property", c, p)
+    rows = merged.withColumns({"__d": F.lit(dataset), "__c": of_class, "__p": of_property})
+    template = [
+        (F.col("__d"), f"{VOID}classPartition", ("iri", F.col("__c"))), (F.col("__c"), f"{VOID}class", ("iri", c)),
+        (F.col("__c"), f"{VOID}propertyPartition", ("iri", F.col("__p"))), (F.col("__p"), f"{VOID}property", ("iri", p)),
+    ]
+    at = F.col("__p")
+    if leaf:
+        rows = rows.withColumn("__l", mint(dataset, leaf, c, p, F.col(leaf)))
+        at = F.col("__l")
+        template += [(F.col("__p"), f"{VOID_EXT}{leaf}Partition", ("iri", at)), (at, f"{VOID_EXT}{leaf}", F.col(leaf) if leaf == "language" else ("iri", F.col(leaf)))]
+    return construct(rows, [*template, (at, VOID + {"entities": "entities", "distinct_objects": "distinctObjects"}.get(measure, "triples"), F.col(measure))])

@@ -57,8 +57,14 @@ def _leaf(c: Criterion, search_type: SearchType) -> bool | Column:
 class SearchEngine:
     """A schema and its tables: by type name, one row a document with ``id``."""
 
-    def __init__(self, schema: SearchSchema, tables: dict[str, DataFrame]):
+    def __init__(self, schema: SearchSchema, tables: dict[str, DataFrame], synonyms: list[set[str]] | None = None):
+        """synonyms: sets of words that mean the same; a search for one finds the others."""
         self.schema, self.tables, self.graph = schema, tables, JoinGraph(schema)
+        self.synonyms: dict[str, set[str]] = {}
+        for same in synonyms or ():
+            folded = {fold_text(x) for x in same}
+            for word in folded:
+                self.synonyms[word] = self.synonyms.get(word, set()) | folded
 
     # -- filters
 
@@ -122,7 +128,16 @@ class SearchEngine:
         words = list(dict.fromkeys(w for w in _split(fold_text(query.text))))
         if not words:
             return rows.withColumn("__score", F.lit(0))
-        held = [(F.array_contains(tokens(F.coalesce(column, F.lit(""))), w), weight, w) for column, weight in self._searched(search_type, query.locale) for w in words]
+
+        def hit(column: Column, word: str) -> Column:
+            """Whether a column holds a word, a word that means the same, or one that the last word begins."""
+            found = tokens(F.coalesce(column, F.lit("")))
+            if query.prefix and word == words[-1]:
+                return F.exists(found, lambda x: x.startswith(word))
+            same = self.synonyms.get(word)
+            return F.arrays_overlap(found, F.array(*map(F.lit, sorted(same)))) if same else F.array_contains(found, word)
+
+        held = [(hit(column, w), weight, w) for column, weight in self._searched(search_type, query.locale) for w in words]
         if not held:
             return rows.where(F.lit(False)).withColumn("__score", F.lit(0))
         score = reduce(Column.__add__, [F.when(hit, F.lit(weight)).otherwise(0) for hit, weight, _ in held])
@@ -171,6 +186,17 @@ class SearchEngine:
             rows = self.resolve(rows, search_type.field(name), list(fields))
         return rows
 
+    def referents(self, type_name: str, fields: list[str], nested: dict[str, tuple[list[str], dict]]) -> DataFrame:
+        """A type's table with ``fields`` and, for each reference in nested (field: (fields, nested)), the referents'
+        documents in place of their ids, level by level."""
+        search_type = self.schema.type(type_name)
+        rows = self.tables[type_name].select("id", *dict.fromkeys([*fields, *nested]))
+        for name, (inner, deeper) in nested.items():
+            f = search_type.field(name)
+            table = self.referents(f.ref, inner, deeper)
+            rows = SearchEngine(self.schema, {**self.tables, f.ref: table}).resolve(rows, f, [c for c in table.columns if c != "id"])
+        return rows
+
     def total(self, type_name: str, query: SearchQuery) -> DataFrame:
         self.check(type_name, query)
         return self.matching(type_name, query).agg(F.count("*").alias("total"))

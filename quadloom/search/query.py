@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from quadloom.functions.values import iso_to_seconds
 from quadloom.search.schema import KINDS, MAX_JOIN_DEPTH, JoinGraph, SearchSchema, SearchType
@@ -59,6 +59,8 @@ class SearchQuery:
     #: References whose documents come along, and which of their fields.
     resolve: tuple[tuple[str, tuple[str, ...]], ...] = ()
     locale: str = "en"
+    #: Whether the last word of the text may be the beginning of a word.
+    prefix: bool = False
     limit: int = 20
     offset: int = 0
 
@@ -158,3 +160,15 @@ def where_from_dict(given: dict, joinable: frozenset[str] = frozenset(), on: tup
         else:
             out.append(Filter((Criterion(key, range_=(value.get("min"), value.get("max")), on=on),)))
     return tuple(out)
+
+
+def language_order(requested: tuple[str, ...], present: list[str]) -> list[str]:
+    """Languages as they are shown: the requested ones in their order, the rest by name, those without a language last."""
+    rest = sorted(x for x in present if x not in requested and x != "und")
+    return [x for x in requested if x in present and x != "und"] + rest + (["und"] if "und" in present else [])
+
+
+def with_defaults(query: SearchQuery, **defaults) -> SearchQuery:
+    """A query whose unset parts are the type's defaults."""
+    unset = SearchQuery()
+    return replace(query, **{k: v for k, v in defaults.items() if getattr(query, k) == getattr(unset, k)})

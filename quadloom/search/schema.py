@@ -268,3 +268,54 @@ def document_schema(schema: SearchSchema, t: SearchType) -> StructType:
             kind = _STORED[f.kind]
         fields.append(StructField(f.name, ArrayType(kind) if f.array and f.kind != "text" else kind))
     return StructType(fields)
+
+
+class SharedName(ValueError):
+    """Two types would share one table."""
+
+
+def table_names(schema: SearchSchema, given: dict[str, str] | None = None) -> dict[str, str]:
+    """The table of each type: the name given or its physical name. Only names that were given may be shared."""
+    given = given or {}
+    out = {t.name: given.get(t.name) or physical_name(t) for t in schema.types}
+    for name, n in Counter(out.values()).items():
+        own = [t for t, held in out.items() if held == name]
+        if n > 1 and not all(t in given for t in own):
+            raise SharedName(f"{', '.join(own)} share the table {name}")
+    return out
+
+
+def sweepable(t: SearchType, source_field: str) -> list[str]:
+    """Why documents of a type cannot be swept by the field that names their source; empty if they can."""
+    f = next((f for f in t.fields if f.name == source_field), None)
+    if f is None:
+        return ["missing"]
+    checks = {"array": f.array, "transformed": f.transform is not None, "not-facetable": not f.facetable}
+    return [reason for reason, wrong in checks.items() if wrong]
+
+
+def display_fields(f: Field, languages: list[str]) -> dict[str, str]:
+    """The columns that show a text field, by language."""
+    return {lang: f"{f.name}_search_{lang}" for lang in languages if lang in f.locales}
+
+
+def result_schema(schema: SearchSchema, t: SearchType) -> StructType:
+    """What a search of a type returns: its page of documents, the total and its facets."""
+    bucket = StructType([StructField("field", StringType()), StructField("value", StringType()), StructField("count", LongType()), StructField("min", DoubleType()), StructField("max", DoubleType())])
+    items = StructType([x for x in document_schema(schema, t).fields if x.name == "id" or any(f.name == x.name and f.output for f in t.fields)])
+    return StructType([StructField("items", ArrayType(items)), StructField("total", LongType()), StructField("facets", ArrayType(bucket))])
+
+
+def load_schema(path: str) -> SearchSchema:
+    """The declarations that a Python file holds as ``schema``."""
+    import importlib.util
+
+    spec = importlib.util.spec_from_file_location("search_schema", path)
+    module = importlib.util.module_from_spec(spec)
+    spec.loader.exec_module(module)
+    found = getattr(module, "schema", None)
+    if not isinstance(found, SearchSchema):
+        raise TypeError(f"{path} holds no schema")
+    if issues := validate(found):
+        raise ValueError(f"{path}: {issues}")
+    return found

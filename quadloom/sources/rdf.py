@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import json
 import re
-import zlib
 import xml.etree.ElementTree as ET
+import zlib
 from collections.abc import Iterator
+from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -74,19 +75,26 @@ def read_lines(spark: SparkSession, path: str, dataset: str | None = None) -> Da
 
 
 def jsonld_quads(text: str) -> Iterator[tuple]:
-    """Quads of expanded or simple-context JSON-LD: terms, prefixes, @vocab, typed and tagged values, nested nodes, @graph."""
+    """Quads of JSON-LD with contexts of its own: terms, prefixes, @vocab, @language, typed and tagged values, language maps,
+    lists and sets, reversed properties, nested nodes, @graph. A context that lies elsewhere is an error, as its terms would be lost."""
     data, blanks = json.loads(text), iter(range(1 << 60))
 
     def context_of(given, base: dict) -> dict:
         out = dict(base)
         for c in given if isinstance(given, list) else [given]:
-            if isinstance(c, dict):
+            if isinstance(c, str):
+                raise ValueError(f"the context {c} is not part of the document")
+            if c is None:
+                out = {}
+            else:
                 out.update(c)
         return out
 
     def expand(name: str, context: dict, vocab: bool) -> str:
-        held = context.get(name)
-        held = held.get("@id", name) if isinstance(held, dict) else held
+        held = context.get(name) if vocab else None
+        held = held.get("@id", held.get("@reverse", name)) if isinstance(held, dict) else held
+        if not vocab and context.get("@base") and ":" not in name:
+            return urljoin(context["@base"], name)
         if isinstance(held, str) and held != name:
             return expand(held, context, vocab)
         prefix, colon, rest = name.partition(":")
@@ -99,7 +107,8 @@ def jsonld_quads(text: str) -> Iterator[tuple]:
             for y in x:
                 yield from walk(y, context, graph)
             return
-        context = context_of(x.get("@context", {}), context)
+        if "@context" in x:
+            context = context_of(x["@context"], context)
         own = expand(x["@id"], context, False) if "@id" in x else f"_:b{next(blanks)}"
         if "@graph" in x:
             yield from walk(x["@graph"], context, own if "@id" in x else graph)
@@ -108,13 +117,51 @@ def jsonld_quads(text: str) -> Iterator[tuple]:
             if key == "@type":
                 for t in values if isinstance(values, list) else [values]:
                     yield (*s, RDF_TYPE, expand(t, context, True), "iri", None, None, graph)
+            elif key == "@reverse":
+                for inner, nodes in values.items():
+                    yield from reversed_from(s, expand(inner, context, True), nodes, context, graph)
             elif not key.startswith("@"):
-                p, coerced = expand(key, context, True), context.get(key)
-                coerced = coerced.get("@type") if isinstance(coerced, dict) else None
-                for v in values if isinstance(values, list) else [values]:
-                    yield from value(s, p, v, coerced, context, graph)
+                p, held = expand(key, context, True), context.get(key)
+                held = held if isinstance(held, dict) else {}
+                if ":" not in p:
+                    continue  # a key that the context gives no IRI
+                if "@reverse" in held:
+                    yield from reversed_from(s, p, values, context, graph)
+                elif held.get("@container") == "@list":
+                    yield from value(s, p, {"@list": values}, held, context, graph)
+                elif held.get("@container") == "@language":
+                    for tag, texts in values.items():
+                        for v in texts if isinstance(texts, list) else [texts]:
+                            yield from value(s, p, {"@value": v, **({} if tag == "@none" else {"@language": tag})}, held, context, graph)
+                else:
+                    for v in values if isinstance(values, list) else [values]:
+                        yield from value(s, p, v, held, context, graph)
+
+    def reversed_from(s, p, nodes, context, graph):
+        for v in nodes if isinstance(nodes, list) else [nodes]:
+            v = {"@id": v} if isinstance(v, str) else v if "@id" in v else {**v, "@id": f"_:b{next(blanks)}"}
+            own = expand(v["@id"], context, False)
+            yield (*((own[2:], "bnode") if own.startswith("_:") else (own, "iri")), p, *s, None, None, graph)
+            if len(v) > 1:
+                yield from walk(v, context, graph)
 
-    def value(s, p, v, coerced, context, graph):
+    def value(s, p, v, held, context, graph):
+        coerced = held.get("@type")
+        if v is None or isinstance(v, dict) and "@value" in v and v["@value"] is None:
+            return
+        if isinstance(v, dict) and "@set" in v:
+            for y in v["@set"] if isinstance(v["@set"], list) else [v["@set"]]:
+                yield from value(s, p, y, held, context, graph)
+            return
+        if isinstance(v, dict) and "@list" in v:
+            at, q = s, p
+            for y in v["@list"] if isinstance(v["@list"], list) else [v["@list"]]:
+                cell = (f"b{next(blanks)}", "bnode")
+                yield (*at, q, *cell, None, None, graph)
+                yield from value(cell, f"{RDF}first", y, held, context, graph)
+                at, q = cell, f"{RDF}rest"
+            yield (*at, q, f"{RDF}nil", "iri", None, None, graph)
+            return
         if isinstance(v, dict) and "@value" not in v:
             v = v if "@id" in v else {**v, "@id": f"_:b{next(blanks)}"}
             o = expand(v["@id"], context, False)
@@ -122,10 +169,12 @@ def jsonld_quads(text: str) -> Iterator[tuple]:
             if len(v) > 1:
                 yield from walk(v, context, graph)
             return
-        if isinstance(v, str) and coerced == "@id":
-            yield (*s, p, expand(v, context, False), "iri", None, None, graph)
+        if isinstance(v, str) and coerced in ("@id", "@vocab"):
+            o = expand(v, context, coerced == "@vocab")
+            yield (*s, p, *((o[2:], "bnode") if o.startswith("_:") else (o, "iri")), None, None, graph)
             return
-        tag = v.get("@language") if isinstance(v, dict) else None
+        plain = isinstance(v, str) and not coerced
+        tag = v.get("@language") if isinstance(v, dict) else held.get("@language", context.get("@language")) if plain else None
         dt = v.get("@type") if isinstance(v, dict) else coerced
         raw = v["@value"] if isinstance(v, dict) else v
         kind = "boolean" if isinstance(raw, bool) else "integer" if isinstance(raw, int) else "double" if isinstance(raw, float) else "string"
@@ -136,37 +185,78 @@ def jsonld_quads(text: str) -> Iterator[tuple]:
 
 
 def rdfxml_quads(text: str) -> Iterator[tuple]:
-    """Quads of RDF/XML: node and property elements, resources, literals, nested nodes."""
+    """Quads of RDF/XML: node and property elements, property attributes, resources, literals, nested nodes,
+    rdf:ID, rdf:li, xml:base, and the parse types Resource, Collection and Literal."""
     blanks = iter(range(1 << 60))
     name = lambda tag: "".join(tag[1:].split("}"))
     attribute = lambda e, x: e.get(f"{{{RDF}}}{x}")
-    XML_LANG = "{http://www.w3.org/XML/1998/namespace}lang"
-
-    def node(e, lang) -> Iterator[tuple]:
-        lang = e.get(XML_LANG, lang)
-        about, own = attribute(e, "about"), attribute(e, "nodeID")
-        s = (about, "iri") if about is not None else (own or f"b{next(blanks)}", "bnode")
+    XML = "{http://www.w3.org/XML/1998/namespace}"
+    syntax = {f"{RDF}{x}" for x in ("about", "ID", "nodeID", "resource", "datatype", "parseType", "type", "bagID")}
+
+    def subject(e, base) -> tuple[str, str]:
+        if (about := attribute(e, "about")) is not None:
+            return urljoin(base, about) if base else about, "iri"
+        if (own := attribute(e, "ID")) is not None:
+            return urljoin(base, f"#{own}") if base else f"#{own}", "iri"
+        return attribute(e, "nodeID") or f"b{next(blanks)}", "bnode"
+
+    def described(s, e, lang, base) -> Iterator[tuple]:
+        """What attributes say of a node."""
+        for key, value in e.attrib.items():
+            if key == f"{{{RDF}}}type":
+                yield (*s, RDF_TYPE, urljoin(base, value) if base else value, "iri", None, None, None)
+            elif key.startswith("{") and not key.startswith(XML) and name(key) not in syntax:
+                yield (*s, name(key), value, "literal", LANG_STRING if lang else f"{XSD}string", lang and lang.lower(), None)
+
+    def node(e, s, lang, base) -> Iterator[tuple]:
+        lang, base = e.get(f"{XML}lang", lang), e.get(f"{XML}base", base)
         if name(e.tag) != f"{RDF}Description":
             yield (*s, RDF_TYPE, name(e.tag), "iri", None, None, None)
+        yield from described(s, e, lang, base)
+        yield from properties(s, e, lang, base)
+
+    def properties(s, e, lang, base) -> Iterator[tuple]:
+        number = 0
         for child in e:
-            p, tag = name(child.tag), child.get(XML_LANG, lang)
-            if (target := attribute(child, "resource")) is not None:
-                yield (*s, p, target, "iri", None, None, None)
-            elif (target := attribute(child, "nodeID")) is not None:
-                yield (*s, p, target, "bnode", None, None, None)
+            p, tag, at = name(child.tag), child.get(f"{XML}lang", lang), child.get(f"{XML}base", base)
+            if p == f"{RDF}li":
+                number += 1
+                p = f"{RDF}_{number}"
+            parse = attribute(child, "parseType")
+            if parse == "Resource":
+                o = (f"b{next(blanks)}", "bnode")
+                yield (*s, p, *o, None, None, None)
+                yield from properties(o, child, tag, at)
+            elif parse == "Collection":
+                here, q = s, p
+                for inner in child:
+                    cell, o = (f"b{next(blanks)}", "bnode"), subject(inner, inner.get(f"{XML}base", at))
+                    yield (*here, q, *cell, None, None, None)
+                    yield (*cell, f"{RDF}first", *o, None, None, None)
+                    yield from node(inner, o, tag, at)
+                    here, q = cell, f"{RDF}rest"
+                yield (*here, q, f"{RDF}nil", "iri", None, None, None)
+            elif parse is not None:
+                held = (child.text or "") + "".join(ET.tostring(x, encoding="unicode") for x in child)
+                yield (*s, p, held, "literal", f"{RDF}XMLLiteral", None, None)
             elif len(child):
                 for inner in child:
-                    made = list(node(inner, tag))
-                    first = (attribute(inner, "about"), "iri") if attribute(inner, "about") is not None else made[0][:2] if made else (f"b{next(blanks)}", "bnode")
-                    yield (*s, p, *first, None, None, None)
-                    yield from made
+                    o = subject(inner, inner.get(f"{XML}base", at))
+                    yield (*s, p, *o, None, None, None)
+                    yield from node(inner, o, tag, at)
+            elif attribute(child, "resource") is not None or attribute(child, "nodeID") is not None or any(True for _ in described(s, child, tag, at)):
+                target = attribute(child, "resource")
+                o = (urljoin(at, target) if at else target, "iri") if target is not None else (attribute(child, "nodeID") or f"b{next(blanks)}", "bnode")
+                yield (*s, p, *o, None, None, None)
+                yield from described(o, child, tag, at)
             else:
                 dt = attribute(child, "datatype")
                 yield (*s, p, child.text or "", "literal", dt or (LANG_STRING if tag else f"{XSD}string"), None if dt else tag and tag.lower(), None)
 
     root = ET.fromstring(text)
+    lang, base = root.get(f"{XML}lang"), root.get(f"{XML}base")
     for e in root if name(root.tag) == f"{RDF}RDF" else [root]:
-        yield from node(e, root.get(XML_LANG))
+        yield from node(e, subject(e, e.get(f"{XML}base", base)), lang, base)
 
 
 def turtle_quads(text: str) -> Iterator[tuple]:
@@ -308,9 +398,11 @@ def read_files(spark: SparkSession, path: str, kind: str, dataset: str | None =
             yield gzip.decompress(raw).decode()
         elif raw[:4] == b"PK\x03\x04":
             with zipfile.ZipFile(io.BytesIO(raw)) as z:
-                for entry in z.namelist():
-                    if entry.lower().endswith(kind) or entry.lower().endswith(".json"):
-                        yield z.read(entry).decode()
+                held = [x for x in z.namelist() if not x.endswith("/")]
+                if wrong := [x for x in held if not x.lower().endswith((kind, ".json", ".xml", ".owl"))]:
+                    raise ValueError(f"{wrong[0]} in the archive is not {kind}")
+                for entry in held:
+                    yield z.read(entry).decode()
         else:
             yield raw.decode()
 
@@ -332,3 +424,36 @@ def read_files(spark: SparkSession, path: str, kind: str, dataset: str | None =
 def read_quads(spark: SparkSession, path: str, kind: str | None = None, dataset: str | None = None) -> DataFrame:
     kind = kind or format_for(None, path, None)[0]
     return read_lines(spark, path, dataset) if kind in ("nt", "nq") else read_files(spark, path, kind, dataset)
+
+
+def is_fresh(path: str, modified: float | None, size: int | None) -> bool:
+    """Whether a local copy is as new as the source (seconds since 1970) and as large; what is not known does not count."""
+    import os
+
+    if not os.path.exists(path):
+        return False
+    held = os.stat(path)
+    return held.st_size > 0 and (modified is None or held.st_mtime >= modified) and (size is None or held.st_size == size)
+
+
+def download(url: str, folder: str, modified: float | None = None, size: int | None = None) -> str:
+    """A dump's local copy, fetched if there is no fresh one; it never lies outside the folder and is never empty."""
+    import os
+    import shutil
+    from urllib.parse import quote
+    from urllib.request import urlopen
+
+    path = os.path.join(os.path.realpath(folder), quote(url, safe="").replace("..", "%2E%2E")[-200:])
+    if os.path.dirname(os.path.realpath(path)) != os.path.realpath(folder):
+        raise ValueError(f"{url} leads out of {folder}")
+    if is_fresh(path, modified, size):
+        return path
+    os.makedirs(folder, exist_ok=True)
+    part = f"{path}.part"
+    with urlopen(url) as source, open(part, "wb") as target:
+        shutil.copyfileobj(source, target)
+    if os.path.getsize(part) == 0:
+        os.remove(part)
+        raise ValueError(f"{url} is empty")
+    os.replace(part, path)
+    return path
