@@ -6,6 +6,12 @@
 4. mixing: sources are repeated towards their temperature weights;
 5. encoding: the ids of a sentencepiece model, with an end id.
 
+Defined results: a document without words, null or empty, is rejected by the
+first stage; rows that repeat a doc_id are one document to the second and third
+stage, of which one row stays; a null doc_id is never a copy and stays; a null
+source is a source; columns beyond those of documents are left out, whatever
+their names; empty tables give an empty result.
+
 All stages but the last return the columns of documents; a stage that changes
 texts sets n_chars anew. Every stage's result is written to the shared folder
 and read again, so a lost executor costs no earlier stage.

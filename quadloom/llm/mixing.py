@@ -14,13 +14,15 @@
    groups of blocks, find the block in which the budget ends, and only that
    block's documents are looked at one by one. No source is ever in one task.
 
-``mix_block`` deals what is chosen into blocks of the output, each a sample of
-the whole mix: a source's k-th pass at hash h stands at (k + h) / passes.
+``mix_blocks`` deals what is chosen into blocks of the output, each a sample of
+the whole mix, one block for each copy: a source's k-th pass (from 0) at hash h
+stands at (k + h) / passes. There are as many blocks as the copies of all
+documents fill with ``OUTPUT_BLOCK_DOCS`` each.
 
 A token is a word: a run of anything but ASCII white space.
 
 Defined results: null and empty texts have no tokens; they stand where their
-hash puts them. A null source is a source. Rows that repeat a doc_id share its
+hash puts them; very long ones are counted in the JVM like others. A null source is a source. Rows that repeat a doc_id share its
 place and are chosen together, each counted. A source without tokens gets one
 pass. Empty tables give an empty result. Other columns are kept.
 """
@@ -160,29 +162,47 @@ def cuts(rows: DataFrame, budgets: DataFrame, n_sources: int) -> DataFrame:
     return materialize(crossing(tied, "h").select("source", F.col("h").alias("cut")), "cuts")
 
 
-def mix(docs: DataFrame, entropy_share: float = ENTROPY_SHARE, max_passes: float | None = None, budget: int | None = None, seed: int = SEED) -> DataFrame:
-    """docs with n_tokens, weight (of the source), copies and mix_block (of the first copy); copies may be 0."""
-    added = ["n_tokens", "weight", "copies", "mix_block"]
-    rows = token_rows(docs, seed)
+ADDED = ["n_tokens", "weight", "copies", "mix_blocks"]
+
+
+def _plan(rows: DataFrame, entropy_share: float, max_passes: float | None, budget: int | None) -> tuple[DataFrame, int, int]:
+    """(source, __weight, __passes, __cut, __all), the number of sources, and that of the output's blocks."""
     sources = source_totals(rows)
     n_sources = sources.count()
     budgets = materialize(source_budgets(sources, exponent(sources, entropy_share, max_passes, budget), budget), "budgets")
     found = cuts(rows, budgets, n_sources)
     plan = budgets.join(found.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s")), "left").drop("__s")
-    n_blocks = max(1, rows.count() // OUTPUT_BLOCK_DOCS)
-    plan = plan.select(
-        "source", F.col("weight").alias("__weight"), F.col("passes").alias("__passes"), F.coalesce("cut", F.lit(-1)).alias("__cut"),
-        F.when(F.col("total") > 0, F.col("passes") + F.col("rest") / F.col("total")).otherwise(1.0).alias("__all"),
-    )
-    names = [c for c in docs.columns if c not in added]
-    held = _with_source(docs.select(*names), plan, n_sources).withColumn("__h", place(F.col("doc_id"), seed))
+    every = F.when(F.col("total") > 0, F.col("passes") + F.col("rest") / F.col("total")).otherwise(1.0)
+    n_copies = budgets.agg(F.sum(F.col("n_docs") * every)).first()[0] or 0.0
+    plan = plan.select("source", F.col("weight").alias("__weight"), F.col("passes").alias("__passes"), F.coalesce("cut", F.lit(-1)).alias("__cut"), every.alias("__all"))
+    return plan, n_sources, max(1, int(n_copies) // OUTPUT_BLOCK_DOCS)
+
+
+def _placed(rows: DataFrame, plan: DataFrame, n_sources: int, n_blocks: int, names: list[str], n_tokens: Column) -> DataFrame:
+    """rows (…, source, __h) with what a plan gives them."""
+    held = _with_source(rows, plan, n_sources)
     copies = F.col("__passes") + (F.col("__h") <= F.col("__cut")).cast("long")
-    spot = F.floor(F.col("__h") / F.lit(float(1 << HASH_BITS)) / F.greatest(F.col("__all"), F.lit(1e-9)) * n_blocks)
-    return held.select(*names, word_count(F.col("text").cast("string")).alias("n_tokens"), F.col("__weight").alias("weight"), copies.alias("copies"), F.when(copies > 0, F.least(spot, F.lit(n_blocks - 1))).cast("long").alias("mix_block"))
+    at = F.col("__h") / F.lit(float(1 << HASH_BITS))
+    block = lambda k: F.least(F.floor((k + at) / F.greatest(F.col("__all"), F.lit(1e-9)) * n_blocks), F.lit(n_blocks - 1)).cast("long")
+    empty = F.expr("cast(array() as array<bigint>)")
+    blocks = F.when(copies > 0, F.transform(F.sequence(F.lit(0).cast("long"), copies - 1), block)).otherwise(empty)
+    return held.select(*names, n_tokens.alias("n_tokens"), F.col("__weight").alias("weight"), copies.alias("copies"), blocks.alias("mix_blocks"))
+
+
+def mix(docs: DataFrame, entropy_share: float = ENTROPY_SHARE, max_passes: float | None = None, budget: int | None = None, seed: int = SEED) -> DataFrame:
+    """docs with n_tokens, weight (of the source), copies and mix_blocks (of each copy); copies may be 0."""
+    plan = _plan(token_rows(docs, seed), entropy_share, max_passes, budget)
+    names = [c for c in docs.columns if c not in ADDED]
+    return _placed(docs.select(*names).withColumn("__h", place(F.col("doc_id"), seed)), *plan, names, word_count(F.col("text").cast("string")))
+
+
+def mixed_rows(docs: DataFrame, entropy_share: float = ENTROPY_SHARE, max_passes: float | None = None, budget: int | None = None, seed: int = SEED) -> DataFrame:
+    """As mix, without texts and other columns: (doc_id, source, n_tokens, weight, copies, mix_blocks). Texts are read once."""
+    rows = token_rows(docs, seed)
+    return _placed(rows.withColumnRenamed("h", "__h"), *_plan(rows, entropy_share, max_passes, budget), ["doc_id", "source"], F.col("n_tokens"))
 
 
 def realise(mixed: DataFrame) -> DataFrame:
-    """One row for each copy, without what mix added."""
-    kept = [c for c in mixed.columns if c not in ("n_tokens", "weight", "copies", "mix_block")]
-    repeated = F.explode(F.when(F.col("copies") > 0, F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    return mixed.select(*kept, repeated.alias("__copy")).select(*kept)
+    """One row for each copy with its ``mix_block``, without what else mix added."""
+    kept = [c for c in mixed.columns if c not in (*ADDED, "mix_block")]
+    return mixed.select(*kept, F.explode("mix_blocks").alias("mix_block"))

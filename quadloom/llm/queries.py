@@ -111,7 +111,7 @@ def copies(docs: DataFrame) -> DataFrame:
 
 
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    mixed = mixing.mixed_rows(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return mixed.select("doc_id", "source", "n_tokens", "copies")
 
 

@@ -111,3 +111,46 @@ def mix(rows, entropy_share=0.9, seed=17, steps=20, decimals=5):
             out[d] = passes + (before < rest)
             before += n
     return out
+
+
+def quality_kept(text):
+    """Whether the quality rules keep a text, from every window of words one by one."""
+    from quadloom.llm import quality as Q
+
+    base = quality(text)
+    words = [w for w in WORD.findall(text or "")]
+    n, letters = len(words), sum(len(w.encode()) for w in words)
+
+    def share(places, size):
+        inside = {i + j for i in places for j in range(size)}
+        return sum(len(words[i].encode()) for i in inside) / max(1, letters)
+
+    if base[5]:
+        return False
+    for size in {*Q.TOP_NGRAM_SHARE, *Q.DUP_NGRAM_SHARE}:
+        at = defaultdict(list)
+        for i in range(n - size + 1):
+            at[tuple(words[i : i + size])].append(i)
+        repeated = {g: places for g, places in at.items() if len(places) > 1}
+        if not repeated:
+            continue
+        if size in Q.TOP_NGRAM_SHARE:
+            shares = Q.TOP_NGRAM_SHARE[size]
+            most = max(len(x) for x in repeated.values())
+            # of several most frequent ones the first in the text
+            top = min((x for x in repeated.values() if len(x) == most), key=lambda x: x[0])
+            if share(top, size) > min(shares[1], max(shares[0], 2 * size / n)):
+                return False
+        if size in Q.DUP_NGRAM_SHARE:
+            shares = Q.DUP_NGRAM_SHARE[size]
+            if share([i for x in repeated.values() for i in x], size) > min(shares[1], max(shares[0], Q.LINE_WORDS / n)):
+                return False
+    lines = [x for x in (text or "").split("\n") if x.strip(SPACE)]
+    seen, again = set(), []
+    for line in lines:
+        if line in seen:
+            again.append(line)
+        seen.add(line)
+    limit = lambda pair: pair[0] if len(again) >= 2 else pair[1]
+    size = lambda xs: sum(len(x.encode()) for x in xs)
+    return len(again) / max(1, len(lines)) <= limit(Q.DUP_LINE_SHARE) and size(again) / max(1, size(lines)) <= limit(Q.DUP_LINE_CHAR_SHARE)

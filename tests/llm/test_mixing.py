@@ -58,6 +58,34 @@ def test_realise_and_odd_tables(spark):
     assert [r.copies for r in same] == [1, 1, 1]
 
 
+def test_every_copy_has_a_block(spark, monkeypatch):
+    """A source's k-th pass at hash h stands at (k + h) / passes, so each block is a sample of the mix."""
+    monkeypatch.setattr(M, "OUTPUT_BLOCK_DOCS", 200)
+    data = rows(SIZES)
+    mixed = M.mix(frame(spark, data))
+    real = M.realise(mixed.drop("block", "total")).groupBy("mix_block", "source").count().collect()
+    blocks = sorted({r.mix_block for r in real})
+    assert blocks == list(range(len(blocks))) and len(blocks) > 10
+    of = {(r.mix_block, r.source): r["count"] for r in real}
+    total = {s: sum(n for (_, t), n in of.items() if t == s) for s in SIZES}
+    for b in blocks:
+        for s in ("big", "mid", "small"):
+            assert abs(of.get((b, s), 0) - total[s] / len(blocks)) < 6 * (total[s] / len(blocks)) ** 0.5 + 3
+    plan, _, n_blocks = M._plan(M.token_rows(frame(spark, data)), M.ENTROPY_SHARE, None, None)
+    every = {r.source: r["__all"] for r in plan.collect()}
+    place = {r.doc_id: r.h for r in M.token_rows(frame(spark, data)).collect()}
+    for r in mixed.collect():
+        assert r.mix_blocks == [min(math.floor((k + place[r.doc_id] / 2.0**M.HASH_BITS) / every[r.source] * n_blocks), n_blocks - 1) for k in range(r.copies)]
+
+
+def test_rows_alone_equal_the_whole(spark):
+    data = [*rows(SIZES), (90000, None, "mid"), (None, "a b", None)]
+    key = lambda r: (str(r.doc_id), r.source, r.n_tokens, r.weight, r.copies, tuple(r.mix_blocks))
+    assert sorted(map(key, M.mixed_rows(frame(spark, data)).collect()), key=str) == sorted(map(key, M.mix(frame(spark, data)).collect()), key=str)
+
+
 def test_plan_is_native(spark):
+    alone = M.mixed_rows(frame(spark, rows({"a": 9})))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in alone and "Arrow" not in alone
     plan = M.mix(frame(spark, rows({"a": 9})))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan

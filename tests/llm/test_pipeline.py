@@ -2,7 +2,6 @@ import public_tokenizers
 import sentencepiece
 
 import corpus_pipeline
-from quadloom.llm.quality import measure
 
 from . import brute
 
@@ -11,7 +10,7 @@ SF = "/root/testdata/sf0.001"
 
 def brute_pipeline(rows, model):
     """rows: (doc_id, text, source) -> sorted [(doc_id, ids)]"""
-    rows = [r for r in rows if not brute.quality(r[1])[5] and measure((r[1] or "").encode())[-1]]
+    rows = [r for r in rows if brute.quality_kept(r[1] or "")]
     texts = {d: t for d, _, _, t in brute.line_dedup([(d, t) for d, t, _ in rows])}
     classes = brute.near_classes(list(texts.items()))
     rows = [(d, texts[d], s) for d, _, s in rows if classes[d] == d]
@@ -32,3 +31,16 @@ def test_stages_keep_the_columns(spark):
         out = stage(spark, docs, SF)
         assert out.columns == corpus_pipeline.COLUMNS and out.dtypes == docs.dtypes
         assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_odd_rows(spark, tmp_path):
+    """Nulls, repeated rows and ids, very long texts and columns of clashing names."""
+    words = " ".join(f"w{i}" for i in range(40))
+    data = [(1, words, "en", "s", 1), (1, words, "en", "s", 1), (2, words + " more", "en", None, None), (3, None, None, None, None), (4, "", "en", "s", 0), (None, words[::-1], None, "s", 5),
+            (5, " ".join(f"v{i}" for i in range(30_000)), "en", "t", None), (5, " ".join(f"z{i}" for i in range(60)), "en", "t", None)]
+    frame = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "1 as kept", "'x' as copies", "2 as node")
+    frame.write.parquet(str(tmp_path / "documents.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    # copies 1 and 2 are one; a repeated doc_id is one document; what has no words is rejected; a null id stays
+    assert {r.doc_id for r in got} == {1, 5, None} and all(r.ids[-1] == 2 and len(r.ids) == r.n_tokens for r in got)
+    assert sum(r.doc_id == 5 for r in got) == sum(r.doc_id == 1 for r in got) or {r.source for r in got} == {"s", "t"}

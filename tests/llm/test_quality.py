@@ -79,3 +79,22 @@ def test_cases_that_the_base_rule_leaves_open():
 
 def test_limits_lie_between_those_of_long_and_short_texts():
     assert [Q.limit((0.1, 0.2), 20, n) for n in (1, 100, 160, 200, 9000)] == [0.2, 0.2, 0.125, 0.1, 0.1]
+
+
+def test_kept_equals_brute_force():
+    texts = [*TEXTS, *(" ".join(w).replace(" \n", "\n").replace("\n ", "\n") for w in (*REPETITIVE.values(), *CLEAN.values()))]
+    for text in texts[:8] + texts[9:]:
+        assert Q.measure(text.encode())[-1] == brute.quality_kept(text), text[:80]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["a", "bb", "cé", "d e f g h", "i j k l m n o p q r s t", "\n", "\nu v w x y z 1 2 3 4\n", *[f"w{i} x{i} y{i}" for i in range(12)]]), max_size=60))
+def test_kept_of_any_text(words):
+    text = " ".join(words)
+    assert Q.measure(text.encode())[-1] == brute.quality_kept(text)
+
+
+def test_kept_of_the_documents(spark):
+    for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect():
+        if len(r.text or "") < 30_000:
+            assert Q.measure((r.text or "").encode())[-1] == brute.quality_kept(r.text or ""), r.doc_id
