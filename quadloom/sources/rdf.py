@@ -398,7 +398,8 @@ def read_files(spark: SparkSession, path: str, kind: str, dataset: str | None =
             yield gzip.decompress(raw).decode()
         elif raw[:4] == b"PK\x03\x04":
             with zipfile.ZipFile(io.BytesIO(raw)) as z:
-                held = [x for x in z.namelist() if not x.endswith("/")]
+                # notes for readers may lie beside the data; anything else is data that would be lost
+                held = [x for x in z.namelist() if not x.lower().endswith(("/", ".md", ".txt", ".html", ".pdf"))]
                 if wrong := [x for x in held if not x.lower().endswith((kind, ".json", ".xml", ".owl"))]:
                     raise ValueError(f"{wrong[0]} in the archive is not {kind}")
                 for entry in held:

@@ -1,6 +1,8 @@
 import gzip
 import zipfile
 
+import pytest
+
 from quadloom.operators.quads import serialize
 from quadloom.sources import rdf
 
@@ -67,3 +69,63 @@ def test_formats(spark):
     assert rdf.format_for("text/turtle", None, "application/n-triples+gzip; q=1") == ("nt", True)
     rows = spark.createDataFrame([("text/turtle", True), ("application/n-quads", False), ("application/n-quads", True), ("text/html", True)], "media_type string, compressed boolean")
     assert [tuple(r) for r in rdf.preferred(rows).collect()] == [("application/n-quads", True), ("application/n-quads", False), ("text/turtle", True)]
+
+
+RDFNS = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
+
+
+def test_jsonld_lists_maps_and_reversed_properties():
+    text = """{"@context": {"@vocab": "http://v/", "@language": "en", "steps": {"@container": "@list"}, "label": {"@container": "@language"}, "partOf": {"@reverse": "http://v/has"}, "see": {"@type": "@id"}, "none": null},
+      "@id": "http://a", "steps": ["x", 2], "label": {"nl": "een", "de": ["eins", "ein"], "@none": "1"}, "partOf": {"@id": "http://w", "name": "Whole"}, "see": "http://b",
+      "@reverse": {"http://v/knows": [{"@id": "http://c"}]}, "tags": {"@set": ["p", "q"]}, "gone": null, "plain": "t", "empty": {"@list": []}}"""
+    got = {(s, p, o, kind, lang) for s, _, p, o, kind, _, lang, _ in rdf.jsonld_quads(text)}
+    one = lambda p, s=None: [x for x in got if x[1] == p and (s is None or x[0] == s)]
+    (_, _, head, kind, _), = one("http://v/steps")
+    assert kind == "bnode" and one(RDFNS + "first", head)[0][2:] == ("x", "literal", "en")
+    rest = one(RDFNS + "rest", head)[0][2]
+    assert one(RDFNS + "first", rest)[0][2] == "2" and one(RDFNS + "rest", rest)[0][2] == RDFNS + "nil"
+    assert {x[2:] for x in one("http://v/label")} == {("een", "literal", "nl"), ("eins", "literal", "de"), ("ein", "literal", "de"), ("1", "literal", None)}
+    assert one("http://v/has") == [("http://w", "http://v/has", "http://a", "iri", None)] and one("http://v/name", "http://w")[0][2] == "Whole"
+    assert one("http://v/knows") == [("http://c", "http://v/knows", "http://a", "iri", None)] and {x[2] for x in one("http://v/tags")} == {"p", "q"}
+    assert one("http://v/see")[0][3] == "iri" and not one("http://v/gone") and one("http://v/plain")[0][4] == "en" and one("http://v/empty")[0][2] == RDFNS + "nil"
+    with pytest.raises(ValueError):
+        list(rdf.jsonld_quads('{"@context": "https://example.org/context.jsonld", "name": "x"}'))
+
+
+def test_rdfxml_attributes_collections_and_bases():
+    text = f"""<rdf:RDF xmlns:rdf="{RDFNS}" xmlns:v="http://v/" xml:base="http://base/doc" xml:lang="en">
+      <v:Thing rdf:ID="a" v:name="Ann"><v:list rdf:parseType="Collection"><rdf:Description rdf:about="#b"/><v:Thing rdf:about="http://c"/></v:list>
+        <v:box rdf:parseType="Resource"><v:size rdf:datatype="http://www.w3.org/2001/XMLSchema#integer">3</v:size></v:box><v:text rdf:parseType="Literal">x<b>y</b></v:text>
+        <v:near v:name="Near" rdf:resource="d"/><rdf:li>first</rdf:li><rdf:li>second</rdf:li></v:Thing></rdf:RDF>"""
+    got = {(s, p, o, kind) for s, _, p, o, kind, *_ in rdf.rdfxml_quads(text)}
+    a = "http://base/doc#a"
+    assert (a, "http://v/name", "Ann", "literal") in got and (a, RDFNS + "type", "http://v/Thing", "iri") in got
+    head = next(o for s, p, o, _ in got if p == "http://v/list")
+    assert (head, RDFNS + "first", "http://base/doc#b", "iri") in got and ("http://c", RDFNS + "type", "http://v/Thing", "iri") in got
+    rest = next(o for s, p, o, _ in got if s == head and p == RDFNS + "rest")
+    assert (rest, RDFNS + "rest", RDFNS + "nil", "iri") in got
+    box = next(o for s, p, o, _ in got if p == "http://v/box")
+    assert (box, "http://v/size", "3", "literal") in got and (a, "http://v/near", "http://base/d", "iri") in got and ("http://base/d", "http://v/name", "Near", "literal") in got
+    assert (a, RDFNS + "_1", "first", "literal") in got and (a, RDFNS + "_2", "second", "literal") in got and any(p == "http://v/text" and "<b>y</b>" in o for _, p, o, _ in got)
+
+
+def test_archives_with_other_files_are_refused(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "a.ttl.zip", "w") as z:
+        z.writestr("a.ttl", "<urn:a> <urn:b> <urn:c> .")
+        z.writestr("README.md", "notes")
+        z.writestr("b.csv", "a,b")
+    with pytest.raises(Exception, match="b.csv"):
+        rdf.read_files(spark, str(tmp_path / "a.ttl.zip"), "ttl").collect()
+
+
+def test_downloads_are_fresh_whole_and_inside(tmp_path):
+    source = tmp_path / "source.nt"
+    source.write_text("<urn:a> <urn:b> <urn:c> .\n")
+    folder = str(tmp_path / "store")
+    path = rdf.download(source.as_uri(), folder)
+    assert open(path).read() == source.read_text() and path.startswith(folder) and rdf.download(source.as_uri(), folder, 0.0, source.stat().st_size) == path
+    source.write_text("<urn:a> <urn:b> <urn:d> .\n<urn:x> <urn:y> <urn:z> .\n")
+    assert "urn:d" not in open(rdf.download(source.as_uri(), folder, 0.0)).read() and "urn:d" in open(rdf.download(source.as_uri(), folder, None, source.stat().st_size)).read()
+    source.write_text("")
+    with pytest.raises(ValueError):
+        rdf.download(source.as_uri(), str(tmp_path / "other"))

@@ -149,3 +149,47 @@ def test_projection(spark):
 def test_fold():
     assert [fold_text(x) for x in ("Møhlmann", "ÆØÅ Œ ß", "ﬁŁ", "")] == ["mohlmann", "aeoa oe ss", "fil", ""]
     assert fold_text(fold_text("Ĳſ")) == fold_text("Ĳſ")
+
+
+def test_names_languages_and_defaults():
+    from quadloom.search.query import SearchQuery, language_order, with_defaults
+    from quadloom.search.schema import Field, SearchSchema, SearchType, SharedName, display_fields, physical_name, sweepable, table_names
+
+    assert language_order(("nl", "en"), ["und", "de", "en", "fr", "nl"]) == ["nl", "en", "de", "fr", "und"]
+    q = with_defaults(SearchQuery(text="x", limit=5), limit=50, locale="nl")
+    assert (q.text, q.limit, q.locale) == ("x", 5, "nl")
+    source = Field("source", "keyword", facetable=True)
+    a, b = SearchType("Person", (source,), class_iri="urn:p"), SearchType("person", (Field("source", "keyword", array=True),), class_iri="urn:q")
+    assert sweepable(a, "source") == [] and sweepable(b, "source") == ["array", "not-facetable"] and sweepable(a, "other") == ["missing"]
+    both = SearchSchema((a, b))
+    if physical_name(a) == physical_name(b):
+        with pytest.raises(SharedName):
+            table_names(both)
+    assert table_names(both, {"Person": "x", "person": "x"}) == {"Person": "x", "person": "x"}
+    assert display_fields(Field("title", "text", locales=("en", "nl")), ["nl", "de"]) == {"nl": "title_search_nl"}
+
+
+def test_folding_is_one_for_index_and_query(spark):
+    from pyspark.sql import functions as F
+
+    from quadloom.functions.text import fold, fold_text
+
+    texts = ["Plain", "Ő ű Ę", "Größe", "Ærø", "", None, "Ωmega", "ﬁne", "ŁÓDŹ", "naïve"]
+    rows = spark.createDataFrame([(x,) for x in texts], "t string").select("t", fold(F.col("t")).alias("f")).collect()
+    assert [r.f for r in rows] == [None if t is None else fold_text(t) for t in texts]
+
+
+def test_referents_of_several_levels(spark):
+    from quadloom.search.engine import SearchEngine
+    from quadloom.search.schema import Field, SearchSchema, SearchType
+
+    schema = SearchSchema((
+        SearchType("Region", (Field("label", "keyword", output=True),), class_iri="urn:r"), SearchType("Nation", (Field("label", "keyword", output=True), Field("region", "reference", ref="Region", output=True)), class_iri="urn:n"),
+        SearchType("Person", (Field("nations", "reference", ref="Nation", array=True, output=True),), class_iri="urn:p"),
+    ))
+    tables = {
+        "Region": spark.createDataFrame([("r1", "One")], "id string, label string"), "Nation": spark.createDataFrame([("n1", "A", "r1"), ("n2", "B", "r9")], "id string, label string, region string"),
+        "Person": spark.createDataFrame([("p", ["n2", "n1", "n9"])], "id string, nations array<string>"),
+    }
+    row = SearchEngine(schema, tables).referents("Person", [], {"nations": (["label"], {"region": (["label"], {})})}).first()
+    assert [(x.id, x.label, x.region and (x.region.id, x.region.label)) for x in row.nations] == [("n2", "B", ("r9", None)), ("n1", "A", ("r1", "One")), ("n9", None, None)]

@@ -37,3 +37,28 @@ def test_columns(spark):
     iris = {"urn:x": True, "http://é": True, "_:b": False, "word": False, "a b:c": False, "mailto:a b": False}
     got = spark.createDataFrame([(x,) for x in iris], "t string").select("t", V.is_absolute_iri(F.col("t")).alias("i")).collect()
     assert {r.t: r.i for r in got} == iris
+
+
+def test_probes_by_host(spark):
+    from quadloom.operators import health
+
+    def fetch(url):
+        if "down" in url:
+            raise OSError("no route")
+        return (404, b"") if "gone" in url else (200, url.encode())
+
+    rows = spark.createDataFrame([(i, u) for i, u in enumerate(["http://a/x", "http://a/gone", "http://down/x", "http://b/y"])], "idx int, url string")
+    got = {r.idx: (r.success, r.status, r.body and bytes(r.body)) for r in health.probe(rows, fetch, per_host=2).collect()}
+    assert got == {0: (True, 200, b"http://a/x"), 1: (False, 404, b""), 2: (False, None, None), 3: (True, 200, b"http://b/y")}
+    assert health.probe(rows.limit(0), fetch).count() == 0
+
+
+def test_observations_are_kept(spark, tmp_path):
+    from quadloom.operators import health
+
+    store = health.ObservationStore(str(tmp_path / "o"))
+    probes = spark.createDataFrame([("m", True, 200, 0.5), ("n", False, None, 1.0)], "monitor string, success boolean, status int, seconds double")
+    for at in ("2024-01-01 00:00:00", "2024-01-02 00:00:00"):
+        store.add(health.probe_observations(probes, at))
+    got = {r.monitor: (str(r.observed_at), r.error) for r in store.latest(spark).collect()}
+    assert got == {"m": ("2024-01-02 00:00:00", None), "n": ("2024-01-02 00:00:00", "network error")}
