@@ -41,7 +41,7 @@ SCHEMA = SearchSchema((
 
 
 def _named(rows: DataFrame, column: str) -> DataFrame:
-    folded = fold_western(F.col(column))
+    folded = fold(F.col(column))
     return rows.withColumns({"name": F.create_map(F.lit("en"), F.col(column)), "name_search_en": folded, "name_sort_en": folded})
 
 

@@ -3,19 +3,56 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadloom.sinks import VersionedTable, last_wins, upsert
 
 
-def upsert_stream(stream: DataFrame, table: VersionedTable, checkpoint: str, key: str = "id", order: str = "seq"):
-    """A query that puts each batch's newest rows in place of a table's; a batch that is run again changes nothing."""
+class ChangeLog:
+    """A table kept as a version and a log of batches after it: a batch writes its own rows alone.
 
-    def apply(batch: DataFrame, _: int) -> None:
+    Reading takes the newest row of each key. After ``merge_after`` batches the log becomes a new version;
+    a batch that is in both changes nothing.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, key: str = "id", order: str = "seq", merge_after: int = 16):
+        self.spark, self.path, self.key, self.order, self.merge_after = spark, path.rstrip("/"), key, order, merge_after
+        self.base = VersionedTable(spark, f"{self.path}/merged")
+
+    def batches(self) -> list[str]:
+        return self.base.files.names(f"{self.path}/log")
+
+    def read(self) -> DataFrame | None:
+        parts = [self.spark.read.parquet(f"{self.path}/log/{b}") for b in self.batches()]
+        held = self.base.read()
+        if held is not None:
+            parts.append(held)
+        return last_wins(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts), self.key, self.order) if parts else None
+
+    def append(self, rows: DataFrame, batch: int) -> None:
+        """Add a batch under its number; one that is run again replaces itself."""
+        last_wins(rows, self.key, self.order).write.mode("overwrite").parquet(f"{self.path}/log/{batch:012d}")
+        if len(done := self.batches()) >= self.merge_after:
+            self.base.write(self.read())
+            for b in done:
+                self.base.files.delete(f"{self.path}/log/{b}")
+
+
+def upsert_stream(stream: DataFrame, table: VersionedTable | ChangeLog, checkpoint: str, key: str = "id", order: str = "seq"):
+    """A query that puts each batch's newest rows in place of a table's; a batch that is run again changes nothing.
+
+    A ChangeLog only grows by each batch; a VersionedTable is written anew by each, so that it reads as a plain table.
+    """
+
+    def apply(batch: DataFrame, number: int) -> None:
+        if isinstance(table, ChangeLog):
+            table.append(batch, number)
+            return
         new = last_wins(batch, key, order)
         old = table.read()
         if old is not None:  # an older row never replaces a newer one

@@ -17,6 +17,22 @@ def test_upserts_from_a_stream(spark, tmp_path):
     assert arrive(("a", 1, "late"), ("b", 5, "new"), ("c", 1, "c")) == [("a", 2, "y"), ("b", 5, "new"), ("c", 1, "c")]
 
 
+def test_a_log_grows_by_its_batches(spark, tmp_path):
+    source, log = str(tmp_path / "in"), changes.ChangeLog(spark, str(tmp_path / "t"), merge_after=2)
+    assert log.read() is None
+
+    def arrive(*rows):
+        spark.createDataFrame(list(rows), SCHEMA).write.mode("append").parquet(source)
+        changes.upsert_stream(spark.readStream.schema(SCHEMA).parquet(source), log, str(tmp_path / "c")).awaitTermination()
+        return sorted((r.id, r.seq, r.v) for r in log.read().collect()), len(log.batches())
+
+    assert arrive(("a", 1, "x"), ("a", 2, "y"), ("b", 1, "z")) == ([("a", 2, "y"), ("b", 1, "z")], 1)
+    assert arrive(("a", 1, "late"), ("b", 5, "new")) == ([("a", 2, "y"), ("b", 5, "new")], 0)  # merged
+    assert arrive(("b", 4, "old"), ("c", 1, "c")) == ([("a", 2, "y"), ("b", 5, "new"), ("c", 1, "c")], 1)
+    log.append(spark.createDataFrame([("c", 1, "c")], SCHEMA), 2)  # a batch that is run again
+    assert log.read().count() == 3
+
+
 def test_timeouts_as_a_stream_and_over_a_log(spark, tmp_path):
     log = [("e", i, o) for i, o in enumerate(["timeout", "error", "timeout", "timeout", "ok", "timeout", "ok"])] + [("f", 0, "timeout")]
     schema = "endpoint string, seq long, outcome string"
