@@ -200,4 +200,4 @@ def _search(name: str, q: SearchQuery, sql: str, synonyms: list[set[str]] | None
 
 _WORDS = "regexp_extract_all(lower(p_name), '[\\p{L}\\p{N}]+')"
 _search("search_prefix", SearchQuery(text="cold wid", prefix=True, limit=100), f"SELECT '{BASE}part/' || p_partkey AS id FROM part WHERE list_contains({_WORDS}, 'cold') AND len(list_filter({_WORDS}, lambda x: x LIKE 'wid%')) > 0 ORDER BY 1 LIMIT 100")
-_search("search_synonyms", SearchQuery(text="gizmo", limit=100), f"SELECT '{BASE}part/' || p_partkey AS id FROM part WHERE list_has_any({_WORDS}, ['widget', 'bolt']) ORDER BY 1 LIMIT 100", [{"Gizmo", "widget", "bolt"}])
+_search("search_synonyms", SearchQuery(text="gizmo", limit=100), f"SELECT '{BASE}part/' || p_partkey AS id FROM part WHERE list_has_any({_WORDS}, ['gizmo', 'widget', 'bolt']) ORDER BY 1 LIMIT 100", [{"Gizmo", "widget", "bolt"}])
