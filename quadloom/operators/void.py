@@ -2,7 +2,8 @@
 
 All take ``t``, a set of triples (the term columns). Partitions by class share
 the join of triples with their subjects' classes on the subject: one shuffle,
-after which each statistic aggregates partially before its own.
+after which each statistic aggregates partially before its own. Those that count
+subjects, objects or classes also take a ``Graph``; one of tables needs no such join.
 """
 
 from __future__ import annotations
@@ -10,8 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quadloom.operators.graph import Graph, graph_of, types
+from quadloom.operators.graph import object_key as _object_key
 from quadloom.operators.quads import canonical_iri
-from quadloom.sources.tables import RDF_TYPE, TERM_COLUMNS
+from quadloom.sources.tables import TERM_COLUMNS
 
 VOID, VOID_EXT = "http://rdfs.org/ns/void#", "http://ldf.fi/void-ext#"
 WELL_KNOWN = "/.well-known/void#"
@@ -22,17 +25,12 @@ LICENSE_PREDICATES = ["http://schema.org/license", "https://schema.org/license",
 TOP_SPACES = 10
 
 
-def _object_key() -> Column:
-    """A term's identity; null parts count as empty so that no row is left out of a distinct count."""
-    return F.struct("o", "o_kind", F.coalesce("o_dt", F.lit("")).alias("dt"), F.coalesce("o_lang", F.lit("")).alias("lang"))
-
-
 def triples(t: DataFrame) -> DataFrame:
     return t.agg(F.count("*").alias("triples"))
 
 
-def subjects(t: DataFrame) -> DataFrame:
-    return t.where("s_kind <> 'bnode'").agg(F.count_distinct("s").alias("distinct_subjects"))
+def subjects(t: DataFrame | Graph) -> DataFrame:
+    return graph_of(t).subjects().where("s_kind <> 'bnode'").agg(F.count("*").alias("distinct_subjects"))
 
 
 def properties(t: DataFrame) -> DataFrame:
@@ -53,32 +51,22 @@ def datatypes(t: DataFrame) -> DataFrame:
     return found.select(F.explode("all").alias("datatype"), F.size("all").cast("long").alias("datatypes"))
 
 
-def types(t: DataFrame) -> DataFrame:
-    """(s, class)."""
-    return t.where((F.col("p") == RDF_TYPE) & (F.col("o_kind") == "iri")).select("s", F.col("o").alias("class"))
-
-
 def class_partitions(t: DataFrame) -> DataFrame:
     return types(t).groupBy("class").agg(F.count("*").alias("entities"))
 
 
-def _by_class(t: DataFrame) -> DataFrame:
-    return t.join(types(t), "s")
-
-
-def class_property_subjects(t: DataFrame) -> DataFrame:
-    """Distinct subjects; a subject's class and property meet once, so distinct pairs first make it a plain count."""
-    # dealt by subject once, which serves the distinct pairs and the join
-    return t.select("s", "p").repartition("s").distinct().join(types(t), "s").groupBy("class", "p").agg(F.count("*").alias("entities"))
+def class_property_subjects(t: DataFrame | Graph) -> DataFrame:
+    """Distinct subjects."""
+    return graph_of(t).class_property_subjects()
 
 
-def class_property_objects(t: DataFrame) -> DataFrame:
-    return _by_class(t).groupBy("class", "p").agg(F.count_distinct(_object_key()).alias("distinct_objects"))
+def class_property_objects(t: DataFrame | Graph) -> DataFrame:
+    return graph_of(t).class_property_objects()
 
 
-def class_property_datatypes(t: DataFrame) -> DataFrame:
+def class_property_datatypes(t: DataFrame | Graph) -> DataFrame:
     """Literal triples by datatype."""
-    return t.where("o_kind = 'literal'").select("s", "p", "o_dt").join(types(t), "s").groupBy("class", "p", F.col("o_dt").alias("datatype")).agg(F.count("*").alias("triples"))
+    return graph_of(t).class_property_literals()
 
 
 def class_property_languages(t: DataFrame) -> DataFrame:
@@ -87,18 +75,17 @@ def class_property_languages(t: DataFrame) -> DataFrame:
     return tagged.join(types(t), "s").select("class", "p", "o", "o_lang").distinct().groupBy("class", "p", F.col("o_lang").alias("language")).agg(F.count("*").alias("triples"))
 
 
-def class_property_object_classes(t: DataFrame) -> DataFrame:
-    links = t.where("o_kind = 'iri'").select("s", "p", "o")
-    named = types(t)
-    objects = named.select(F.col("s").alias("o"), F.col("class").alias("object_class"))
-    return links.join(named, "s").join(objects, "o").groupBy("class", "p", "object_class").agg(F.count("*").alias("triples"))
+def class_property_object_classes(t: DataFrame | Graph) -> DataFrame:
+    """Links are counted for each object first: an object of most triples, as a class is, is one row of the join."""
+    g = graph_of(t)
+    objects = g.object_types().select(F.col("s").alias("o"), F.col("class").alias("object_class"))
+    return g.links().join(objects, "o").groupBy("class", "p", "object_class").agg(F.sum("triples").alias("triples"))
 
 
-def entity_properties(t: DataFrame) -> DataFrame:
+def entity_properties(t: DataFrame | Graph) -> DataFrame:
     """Distinct subjects and objects of each property: two aggregates and a join of their few rows, not one expanded input."""
-    s = t.select("p", "s", "s_kind").distinct().groupBy("p").agg(F.count("*").alias("entities"))
-    o = t.select("p", _object_key().alias("o")).distinct().groupBy("p").agg(F.count("*").alias("distinct_objects"))
-    return s.join(o, "p")
+    g = graph_of(t)
+    return g.property_subjects().join(g.property_objects(), "p")
 
 
 def licenses(t: DataFrame) -> DataFrame:
@@ -106,9 +93,9 @@ def licenses(t: DataFrame) -> DataFrame:
     return t.where(F.col("p").isin(LICENSE_PREDICATES)).groupBy(F.col("o").alias("license"), "o_kind").agg(F.count("*").alias("triples")).select("license", "triples")
 
 
-def subject_uri_spaces(t: DataFrame, top: int = TOP_SPACES) -> DataFrame:
+def subject_uri_spaces(t: DataFrame | Graph, top: int = TOP_SPACES) -> DataFrame:
     """The largest namespaces of subjects; those of a single entity go after the cut, not before."""
-    spaces = t.where("s_kind = 'iri'").select("s").distinct().groupBy(F.regexp_replace("s", "[^/#]+$", "").alias("uri_space")).agg(F.count("*").alias("entities"))
+    spaces = graph_of(t).subjects().where("s_kind = 'iri'").groupBy(F.regexp_replace("s", "[^/#]+$", "").alias("uri_space")).agg(F.count("*").alias("entities"))
     return spaces.orderBy(F.desc("entities"), "uri_space").limit(top).where("entities > 1")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,47 +67,111 @@ def repeated_keys(spark: SparkSession, path: str, key: list[str]) -> DataFrame |
     return _repeated[at]
 
 
-def table_quads(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+class Part(NamedTuple):
+    """The triples of one column: one a row at most."""
+
+    p: str
+    o: Column
+    kind: str
+    dt: str | None
+    lang: Column
+    #: What it reads besides the key.
+    columns: list[str]
+    #: What tells objects apart before they are text: an integer (i, one text each), a day (t), a number (d) or the text itself (v).
+    raw: tuple[str, Column]
+    #: The table whose rows the objects are; None: they are no subjects.
+    target: str | None = None
+
+    @property
+    def present(self) -> Column:
+        """Whether a row has the triple, without making the text where a number tells."""
+        kind, value = self.raw
+        if kind == "i" and self.target:
+            return F.lit(True)  # without a key it is the IRI of none
+        # numbers that surely are decimals of that size need no cast
+        return F.when(F.abs(value) < 1e15, True).otherwise(value.cast("decimal(18,2)").isNotNull()) if kind == "d" else value.isNotNull()
+
+
+class TableRows(NamedTuple):
+    """A table as entities: a row is a subject, its columns are properties."""
+
+    name: str
+    path: str
+    rows: DataFrame
+    key: list[str]
+    subject: Column
+    parts: list[Part]
+    #: The classes of a row, each with its condition (None: every row).
+    classes: list[tuple[str, Column | None]]
+
+    def split(self) -> tuple[DataFrame, DataFrame | None]:
+        """The rows that have a key to themselves, and those that share one (None: there are none)."""
+        # lineitem alone has no key of its own
+        repeated = repeated_keys(self.rows.sparkSession, self.path, self.key) if self.name == "lineitem" else None
+        return (self.rows, None) if repeated is None else (self.rows.join(repeated, self.key, "left_anti"), self.rows.join(repeated, self.key, "left_semi"))
+
+    def projected(self, held: DataFrame, x: Part) -> DataFrame:
+        out = held.select(self.subject.alias("s"), F.lit("iri").alias("s_kind"), F.lit(x.p).alias("p"), x.o.alias("o"), F.lit(x.kind).alias("o_kind"), F.lit(x.dt).cast("string").alias("o_dt"), x.lang.alias("o_lang"), F.lit(f"{BASE}graph/{self.name}").alias("g"), F.lit(f"{BASE}dataset").alias("dataset"))
+        return out.where("o is not null").select(*QUAD_COLUMNS)
+
+    def merged(self, again: DataFrame) -> list[DataFrame]:
+        """The quads of rows that share keys, a set."""
+        return [self.projected(again.select(*dict.fromkeys([*self.key, *x.columns])).distinct(), x) for x in self.parts]
+
+
+def table_rows(spark: SparkSession, sf_dir: str, name: str) -> TableRows:
     """One type triple a row and one triple for each column that is not null; foreign keys are IRIs.
 
     A document has a second type and language-tagged text under one of the two spellings of the
     schema.org namespace (by the parity of its id), and a license.
-
-    Each column is a projection of its own with constant predicate, kind and datatype: a filter on
-    these leaves out whole projections while planning, and a scan reads the key and one column.
-    Rows that share a key merge, as a set of triples does; only they are made distinct.
     """
     rows = table(spark, sf_dir, name)
     class_name, key, foreign = TABLES[name]
     null = F.lit(None).cast("string")
-    parts: list[tuple[Column, Column, str, str | None, Column, list[str]]] = [(F.lit(RDF_TYPE), F.lit(f"{BASE}class/{class_name}"), "iri", None, null, [])]
+
+    def of_text(p: str, o: Column, kind: str, dt: str | None, lang: Column, columns: list[str], target: str | None = None) -> Part:
+        return Part(p, o, kind, dt, lang, columns, ("v", o.cast("string")), target)
+
+    parts = [of_text(RDF_TYPE, F.lit(f"{BASE}class/{class_name}"), "iri", None, null, [])]
+    classes: list[tuple[str, Column | None]] = [(f"{BASE}class/{class_name}", None)]
     for column, kind in rows.dtypes:
+        p = f"{BASE}prop/{column}"
         if column in foreign:
-            parts.append((F.lit(f"{BASE}prop/{column}"), iri(foreign[column], F.col(column)), "iri", None, null, [column]))
+            x = of_text(p, iri(foreign[column], F.col(column)), "iri", None, null, [column], foreign[column])
         elif (name, column) not in (("documents", "text"), ("documents", "lang")):
             o, dt = _object(column, kind)
-            parts.append((F.lit(f"{BASE}prop/{column}"), o, "literal", dt, null, [column]))
+            x = of_text(p, o, "literal", dt, null, [column])
+        else:
+            continue
+        if kind in ("int", "bigint"):
+            x = x._replace(raw=("i", F.col(column).cast("bigint")))
+        elif kind == "double" and column not in foreign:
+            x = x._replace(raw=("d", F.col(column)))
+        elif kind.startswith("timestamp") and column not in foreign:
+            x = x._replace(raw=("t", F.unix_date(F.col(column).cast("date")).cast("bigint")))
+        parts.append(x)
     if name == "documents":
         for parity, space in enumerate(("https://schema.org/", "http://schema.org/")):
             own = F.col("doc_id") % 2 == parity
+            classes.append((f"{space}CreativeWork", own))
             parts += [
-                (F.lit(RDF_TYPE), F.when(own, F.lit(f"{space}CreativeWork")), "iri", None, null, []),
-                (F.lit(f"{space}text"), F.when(own, F.col("text")), "literal", LANG_STRING, F.col("lang"), ["text", "lang"]),
-                (F.lit(f"{space}license"), F.when(own, F.concat(F.lit(f"{BASE}license/"), F.col("lang"))), "iri", None, null, ["lang"]),
+                of_text(RDF_TYPE, F.when(own, F.lit(f"{space}CreativeWork")), "iri", None, null, []),
+                of_text(f"{space}text", F.when(own, F.col("text")), "literal", LANG_STRING, F.col("lang"), ["text", "lang"]),
+                of_text(f"{space}license", F.when(own, F.concat(F.lit(f"{BASE}license/"), F.col("lang"))), "iri", None, null, ["lang"]),
             ]
-    # lineitem alone has no key of its own
-    repeated = repeated_keys(spark, f"{sf_dir}/{name}.parquet", key) if name == "lineitem" else None
-    once, again = (rows, None) if repeated is None else (rows.join(repeated, key, "left_anti"), rows.join(repeated, key, "left_semi"))
-    subject = iri(name, *(F.col(k) for k in key)).alias("s")
+    return TableRows(name, f"{sf_dir}/{name}.parquet", rows, key, iri(name, *(F.col(k) for k in key)), parts, classes)
 
-    def projected(held: DataFrame, p: Column, o: Column, kind: str, dt: str | None, lang: Column) -> DataFrame:
-        out = held.select(subject, F.lit("iri").alias("s_kind"), p.alias("p"), o.alias("o"), F.lit(kind).alias("o_kind"), F.lit(dt).cast("string").alias("o_dt"), lang.alias("o_lang"), F.lit(f"{BASE}graph/{name}").alias("g"), F.lit(f"{BASE}dataset").alias("dataset"))
-        return out.where("o is not null").select(*QUAD_COLUMNS)
 
-    made = [projected(once, *x[:5]) for x in parts]
-    if again is not None:
-        made += [projected(again.select(*dict.fromkeys([*key, *x[5]])).distinct(), *x[:5]) for x in parts]
-    return reduce(DataFrame.unionByName, made)
+def table_quads(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The quads of a table's rows.
+
+    Each column is a projection of its own with constant predicate, kind and datatype: a filter on
+    these leaves out whole projections while planning, and a scan reads the key and one column.
+    Rows that share a key merge, as a set of triples does; only they are made distinct.
+    """
+    x = table_rows(spark, sf_dir, name)
+    once, again = x.split()
+    return reduce(DataFrame.unionByName, [x.projected(once, p) for p in x.parts] + ([] if again is None else x.merged(again)))
 
 
 def quads_from_tables(spark: SparkSession, sf_dir: str, names: list[str] | None = None) -> DataFrame:
