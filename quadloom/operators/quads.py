@@ -7,13 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quadloom.plans.tables import dealt
 from quadloom.sources.tables import LANG_STRING, QUAD_COLUMNS, TERM_COLUMNS, XSD
 
 
-#: Bytes of the scanned files whose quads one task of ``dedupe`` holds.
-DEDUPE_BYTES = 4_000_000
-
-
 def dedupe(quads: DataFrame) -> DataFrame:
     """Triples as a set.
 
@@ -21,20 +18,7 @@ def dedupe(quads: DataFrame) -> DataFrame:
     split would hold all of it and find few. The dealing holds no rows, and its parts are as many as the files' bytes ask for.
     """
     keys = TERM_COLUMNS + [c for c in ("g", "dataset") if c in quads.columns]
-    n = _parts(quads)
-    return (quads.repartition(n, *keys) if n else quads).dropDuplicates(keys)
-
-
-def _parts(df: DataFrame) -> int | None:
-    """Parts for df's rows by the bytes that its scans read, at most as many as are written without being held; None if the bytes are not known."""
-    if df.isStreaming:
-        return None
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    n_bytes = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
-    if n_bytes >= 1 << 60:  # rows of no file
-        return None
-    unheld = int(df.sparkSession.sparkContext.getConf().get("spark.shuffle.sort.bypassMergeThreshold", "200"))
-    return max(1, min(unheld, -(-n_bytes // DEDUPE_BYTES)))
+    return dealt(quads, keys).dropDuplicates(keys)
 
 
 def in_graph(quads: DataFrame, graph: str | None) -> DataFrame:

@@ -33,6 +33,31 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of the scanned files whose rows are one part of what is dealt.
+DEALT_BYTES = 4_000_000
+
+
+def dealt(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with equal keys in one part, before any grouping; as they came if the bytes are not known.
+
+    Where few rows of a split share keys, grouping there holds the split and saves nothing.
+    """
+    n = _parts(df)
+    return df.repartition(n, *keys) if n else df
+
+
+def _parts(df: DataFrame) -> int | None:
+    """Parts by the bytes that df's scans read, at most as many as are written without being held; None if the bytes are not known."""
+    if df.isStreaming:
+        return None
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    n_bytes = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    if n_bytes >= 1 << 60:  # rows of no file
+        return None
+    unheld = int(df.sparkSession.sparkContext.getConf().get("spark.shuffle.sort.bypassMergeThreshold", "200"))
+    return max(1, min(unheld, -(-n_bytes // DEALT_BYTES)))
+
+
 def _remove_steps() -> None:
     for spark, path in _steps:
         try:

@@ -1,7 +1,8 @@
 """Sets of quads: what they keep, and what a task holds of them."""
 
 from quadloom.operators import quads as Q
-from quadloom.sources.tables import QUAD_COLUMNS, TERM_COLUMNS, quads_from_tables
+from quadloom.plans import tables
+from quadloom.sources.tables import QUAD_COLUMNS, TERM_COLUMNS, quads_from_tables, repeated_keys
 
 from .graphs import EX, frame, quad
 
@@ -10,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_copies_are_dealt_before_they_are_looked_for(spark, monkeypatch):
     """A task holds no quads of its split: below the exchange nothing is grouped."""
-    monkeypatch.setattr(Q, "DEDUPE_BYTES", 10_000)
+    monkeypatch.setattr(tables, "DEALT_BYTES", 10_000)
     t = quads_from_tables(spark, SF, ["orders"])
     found = Q.dedupe(t.unionByName(t))
     above, dealt, below = found._jdf.queryExecution().sparkPlan().toString().partition("Exchange hashpartitioning")
@@ -20,12 +21,12 @@ def test_copies_are_dealt_before_they_are_looked_for(spark, monkeypatch):
 
 def test_parts_follow_the_bytes_read_up_to_what_is_written_unheld(spark, monkeypatch):
     t = quads_from_tables(spark, SF, ["orders"])
-    monkeypatch.setattr(Q, "DEDUPE_BYTES", 10_000)
-    one, two = Q._parts(t), Q._parts(t.unionByName(t))
+    monkeypatch.setattr(tables, "DEALT_BYTES", 10_000)
+    one, two = tables._parts(t), tables._parts(t.unionByName(t))
     assert 1 < one < two <= 200
-    monkeypatch.setattr(Q, "DEDUPE_BYTES", 1)
-    assert Q._parts(t) == 200
-    assert Q._parts(frame(spark, quad(EX + "a", EX + "p", "1"))) is None
+    monkeypatch.setattr(tables, "DEALT_BYTES", 1)
+    assert tables._parts(t) == 200
+    assert tables._parts(frame(spark, quad(EX + "a", EX + "p", "1"))) is None
 
 
 def test_nulls_are_equal_and_every_column_tells_apart(spark, tmp_path):
@@ -37,3 +38,12 @@ def test_nulls_are_equal_and_every_column_tells_apart(spark, tmp_path):
         assert sorted(map(str, Q.dedupe(x).select(*QUAD_COLUMNS).collect())) == sorted(map(str, frame(spark, a, *others).collect()))
         assert Q.dedupe(x.select(*TERM_COLUMNS)).count() == 4
     assert Q.dedupe(t.where("false")).count() == 0
+
+
+def test_keys_are_dealt_before_the_look_for_repeated_ones(spark, tmp_path, monkeypatch):
+    """The look of a session at a table's keys holds no split either, and finds null keys as well."""
+    asked = []
+    monkeypatch.setattr(tables, "dealt", lambda df, keys, f=tables.dealt: asked.append(keys) or f(df, keys))
+    spark.createDataFrame([(1, 1), (1, 2), (1, 1), (None, 3), (None, 3), (None, 4)], "a int, b int").write.parquet(f"{tmp_path}/k")
+    assert sorted(map(str, repeated_keys(spark, f"{tmp_path}/k", ["a", "b"]).collect())) == ["Row(a=1, b=1)", "Row(a=None, b=3)"]
+    assert asked == [["a", "b"]]
