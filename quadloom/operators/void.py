@@ -95,8 +95,7 @@ def licenses(t: DataFrame) -> DataFrame:
 
 def subject_uri_spaces(t: DataFrame | Graph, top: int = TOP_SPACES) -> DataFrame:
     """The largest namespaces of subjects; those of a single entity go after the cut, not before."""
-    spaces = graph_of(t).subjects().where("s_kind = 'iri'").groupBy(F.regexp_replace("s", "[^/#]+$", "").alias("uri_space")).agg(F.count("*").alias("entities"))
-    return spaces.orderBy(F.desc("entities"), "uri_space").limit(top).where("entities > 1")
+    return graph_of(t).subject_spaces().orderBy(F.desc("entities"), "uri_space").limit(top).where("entities > 1")
 
 
 def object_uri_spaces(t: DataFrame, top: int | None = None) -> DataFrame:

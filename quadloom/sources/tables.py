@@ -104,6 +104,11 @@ class TableRows(NamedTuple):
     #: The classes of a row, each with its condition (None: every row).
     classes: list[tuple[str, Column | None]]
 
+    @property
+    def space(self) -> str | None:
+        """The namespace of all its subjects: integers and what joins them end none; None for keys of other kinds."""
+        return f"{BASE}{self.name}/" if all(kind in ("int", "bigint") for column, kind in self.rows.dtypes if column in self.key) else None
+
     def split(self) -> tuple[DataFrame, DataFrame | None]:
         """The rows that have a key to themselves, and those that share one (None: there are none)."""
         # lineitem alone has no key of its own
