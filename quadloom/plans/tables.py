@@ -8,6 +8,7 @@ import uuid
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,6 +34,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Hashes up to which they are sent to every executor.
+BROADCAST_HASHES = 1_000_000
 #: Bytes of the scanned files whose rows are one part of what is dealt.
 DEALT_BYTES = 4_000_000
 
@@ -46,6 +49,20 @@ def dealt(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.repartition(n, *keys) if n else df
 
 
+def suspects(keys: DataFrame) -> DataFrame | None:
+    """The rows that may have an equal: those whose hash several rows have, found by the hashes alone; None if there are none.
+
+    Equal rows have equal hashes, so none is lost; rows that only share a hash are few, and the caller tells them apart.
+    """
+    hashed = keys.select(F.xxhash64(*keys.columns).alias("hash"))
+    n = _parts(hashed)
+    met = checkpointed((hashed.repartition(n, "hash") if n else hashed).groupBy("hash").count().where("count > 1").select("hash"))
+    n_met = met.count()
+    if not n_met:
+        return None
+    return keys.join(F.broadcast(met) if n_met <= BROADCAST_HASHES else met, F.xxhash64(*(keys[c] for c in keys.columns)) == met["hash"], "left_semi")
+
+
 def _parts(df: DataFrame) -> int | None:
     """Parts by the bytes that df's scans read, at most as many as are written without being held; None if the bytes are not known."""
     if df.isStreaming:

@@ -59,10 +59,11 @@ def repeated_keys(spark: SparkSession, path: str, key: list[str]) -> DataFrame |
     """The keys that several rows of a table share; None if there are none. Only the key columns are read, once a session."""
     at = (spark.sparkContext.applicationId, path)
     if at not in _repeated:
-        from quadloom.plans.tables import checkpointed, dealt
+        from quadloom.plans.tables import checkpointed, dealt, suspects
 
-        found = checkpointed(dealt(spark.read.parquet(path).select(*key), key).groupBy(*key).count().where("count > 1").select(*key))
-        n = found.count()
+        rows = suspects(spark.read.parquet(path).select(*key))
+        found = None if rows is None else checkpointed(dealt(rows, key).groupBy(*key).count().where("count > 1").select(*key))
+        n = 0 if found is None else found.count()
         _repeated[at] = None if n == 0 else F.broadcast(found) if n <= BROADCAST_KEYS else found
     return _repeated[at]
 

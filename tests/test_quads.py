@@ -47,3 +47,17 @@ def test_keys_are_dealt_before_the_look_for_repeated_ones(spark, tmp_path, monke
     spark.createDataFrame([(1, 1), (1, 2), (1, 1), (None, 3), (None, 3), (None, 4)], "a int, b int").write.parquet(f"{tmp_path}/k")
     assert sorted(map(str, repeated_keys(spark, f"{tmp_path}/k", ["a", "b"]).collect())) == ["Row(a=1, b=1)", "Row(a=None, b=3)"]
     assert asked == [["a", "b"]]
+
+
+def test_the_look_for_repeated_keys_moves_a_hash_a_row(spark, tmp_path, monkeypatch):
+    """Keys are dealt only if their hash is met again, and are told apart themselves: nulls in other places have one hash."""
+    written = []
+    monkeypatch.setattr(tables, "checkpointed", lambda df, f=tables.checkpointed: written.append(df) or f(df))
+    schema, alike = "a int, b int", [(None, 3), (3, None)]
+    look = lambda name, rows: (spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}"), repeated_keys(spark, f"{tmp_path}/{name}", ["a", "b"]))[1]
+    assert look("none", [(1, 1), (1, 2), (2, 1)]) is None
+    (first,) = written
+    assert first.columns == ["hash"] and "RepartitionByExpression [hash#" in first._jdf.queryExecution().optimizedPlan().toString()
+    assert look("alike", alike) is None and [x.columns for x in written[1:]] == [["hash"], ["a", "b"]]
+    monkeypatch.setattr(tables, "BROADCAST_HASHES", 0)
+    assert [tuple(r) for r in look("some", [*alike, (1, 1), (3, None)]).collect()] == [(3, None)]
