@@ -34,3 +34,9 @@ def test_query_equals_sql(spark, duck, name):
 
 def test_every_query_has_sql():
     assert catalog.queries().keys() == catalog.oracle_sql().keys()
+
+
+def test_partition_iris_are_made_of_counts_that_read_each_table_once(spark):
+    """Of the tables where no rows of lineitem share a key."""
+    got = catalog.queries()["void_partition_iris"](spark, "/root/testdata/sf0.1")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in got and got.count("parquet") == 8
